@@ -37,31 +37,27 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wide score record per order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    x = (c * 53 + k * 7) % 1000
-    y = (k * 37) % 1000
-    ok = F.col("o_orderstatus") != "P"
-    ok_b = (k % 8) != 0
-    slot = k % 20
-    return orders.join(customers, c == F.col("c_custkey")).select(
-        order_sample_id("o_orderkey").alias("sample_id"),
-        k.alias("order_key"),
-        F.format_string("issuer-%03d", F.col("c_nationkey")).alias("issuer"),
-        F.when(slot == 0, "calibration").when(slot <= 12, "development").when(slot <= 18, "final")
-        .otherwise("reserve").alias("cohort"),
-        (y / 1000.0).alias("primary_con"),
-        (((k * 61) % 1000) / 1000.0).alias("primary_top"),
-        F.lit("success").alias("primary_status"),
-        F.when(ok, "success").otherwise("parse_failed").alias("expert_status"),
-        F.when(ok, x / 1000.0).alias("expert_con"),
-        F.when(ok, ((c * 29 + k * 11) % 1000) / 1000.0).alias("expert_top"),
-        F.when(ok_b, "success").otherwise("inference_failed").alias("expert_b_status"),
-        F.when(ok_b, ((c * 71 + k * 7) % 1000) / 1000.0).alias("expert_b_con"),
-        F.when(ok_b, ((c * 43 + k * 11) % 1000) / 1000.0).alias("expert_b_top"),
-        ((F.lit(6) * (x - y) + F.lit(4) * ((k * 17 + c * 3) % 1000 - 500)) / 10000.0).alias("pred_benefit"),
-        (k % 5 + 1).cast("double").alias("primary_seconds"),
-        (c % 20 + 1).cast("double").alias("expert_seconds"),
-        (c % 15 + 1).cast("double").alias("expert_b_seconds"),
+    x, y = "((o_custkey * 53 + o_orderkey * 7) % 1000)", "((o_orderkey * 37) % 1000)"
+    ok, ok_b = "o_orderstatus <> 'P'", "o_orderkey % 8 <> 0"
+    return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).selectExpr(
+        "format_string('%010d-000', o_orderkey) AS sample_id",
+        "o_orderkey AS order_key",
+        "format_string('issuer-%03d', c_nationkey) AS issuer",
+        "CASE WHEN o_orderkey % 20 = 0 THEN 'calibration' WHEN o_orderkey % 20 <= 12 THEN 'development' "
+        "WHEN o_orderkey % 20 <= 18 THEN 'final' ELSE 'reserve' END AS cohort",
+        f"{y} / 1000D AS primary_con",
+        "((o_orderkey * 61) % 1000) / 1000D AS primary_top",
+        "'success' AS primary_status",
+        f"if({ok}, 'success', 'parse_failed') AS expert_status",
+        f"if({ok}, {x} / 1000D, NULL) AS expert_con",
+        f"if({ok}, ((o_custkey * 29 + o_orderkey * 11) % 1000) / 1000D, NULL) AS expert_top",
+        f"if({ok_b}, 'success', 'inference_failed') AS expert_b_status",
+        f"if({ok_b}, ((o_custkey * 71 + o_orderkey * 7) % 1000) / 1000D, NULL) AS expert_b_con",
+        f"if({ok_b}, ((o_custkey * 43 + o_orderkey * 11) % 1000) / 1000D, NULL) AS expert_b_top",
+        f"(6 * ({x} - {y}) + 4 * ((o_orderkey * 17 + o_custkey * 3) % 1000 - 500)) / 10000D AS pred_benefit",
+        "double(o_orderkey % 5 + 1) AS primary_seconds",
+        "double(o_custkey % 20 + 1) AS expert_seconds",
+        "double(o_custkey % 15 + 1) AS expert_b_seconds",
     )
 
 

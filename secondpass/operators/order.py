@@ -2,10 +2,10 @@
 
 A window over ``partitionBy(group)`` sorts the whole group in one task, and a
 window without ``partitionBy`` sorts everything in one task.  The functions here
-use a range-partitioned sort instead: rows keep their position inside their
-range, ranges are counted, and the (few) range totals are turned into offsets.
-Grouped variants measure group sizes first; ordinary groups take the plain
-window, only groups above ``hot_rows`` take the range path.
+measure the sizes first.  Groups (or whole tables) of at most ``hot_rows`` rows
+take the plain window.  Everything above that takes a range-partitioned sort:
+rows keep their position inside their range, ranges are counted, and the (few)
+range totals are turned into offsets.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int) -> DataFrame
     return counts if counts.take(1) else None
 
 
+def is_large(df: DataFrame, rows: int) -> bool:
+    """Whether the whole table holds more than ``rows`` rows."""
+    return df.agg(F.count(F.lit(1)).alias("n")).first()["n"] > rows
+
+
 def _ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Globally sorted rows with their range number and position inside the range."""
     placed = pin(df.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id()), "ranged")
@@ -71,7 +76,10 @@ def with_rank(
     """Add the 1-based position of every row in ``order`` (inside ``groups`` if given)."""
     groups = list(groups)
     if not groups:
-        return _global_rank(df, order, name)
+        if is_large(df, hot_rows):
+            return _global_rank(df, order, name)
+        # At most ``hot_rows`` rows, just counted: one sort is the cheapest way.
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     window = Window.partitionBy(*groups).orderBy(*order)
     plain = F.row_number().over(window).cast("long")
     hot = hot_groups(df, groups, hot_rows)
@@ -111,7 +119,10 @@ def with_running_total(
     """Add the inclusive running total of ``value`` in ``order`` (inside ``groups`` if given)."""
     groups = list(groups)
     if not groups:
-        return _global_running(df, order, value, name)
+        if is_large(df, hot_rows):
+            return _global_running(df, order, value, name)
+        whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(whole))
     window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     hot = hot_groups(df, groups, hot_rows)
     if hot is None:

@@ -41,7 +41,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, ok_b = "o_orderstatus <> 'P'", "o_orderkey % 8 <> 0"
     return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).selectExpr(
         "format_string('%010d-000', o_orderkey) AS sample_id",
-        "o_orderkey AS order_key",
+        "o_orderkey AS order_key", "o_custkey AS cust_key",
         "format_string('issuer-%03d', c_nationkey) AS issuer",
         "CASE WHEN o_orderkey % 20 = 0 THEN 'calibration' WHEN o_orderkey % 20 <= 12 THEN 'development' "
         "WHEN o_orderkey % 20 <= 18 THEN 'final' ELSE 'reserve' END AS cohort",
@@ -126,8 +126,42 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort membership of every order."""
+    return scores(spark, sf_dir).selectExpr("cohort", "sample_id", "issuer", "order_key % 4 = 0 AS spanning")
+
+
+# Multipliers and costs of the three local actions.
+_LOCAL = ((1, "core_read_core_write", 41, 250), (2, "halo_read_core_write", 47, 400), (3, "halo_read_halo_write", 59, 400))
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five actions per order; local actions exist for every third order."""
+    whole_con = "if(expert_status = 'success', expert_con, primary_con)"
+    whole_top = "if(expert_status = 'success', expert_top, primary_top)"
+    fields = "AS action_rank", "AS action", "AS available", "AS con", "AS top", "AS cost", "AS terminal_state"
+
+    def entry(*values: str) -> str:
+        return "struct(" + ", ".join(f"{v} {f}" for v, f in zip(values, fields)) + ")"
+
+    entries = [entry("0", "'retain_primary'", "true", "primary_con", "primary_top", "0L", "'retained'")]
+    for rank, name, m, cost in _LOCAL:
+        entries.append(entry(
+            str(rank), f"'{name}'", "order_key % 3 = 0",
+            f"if(order_key % 3 = 0, ((order_key * {m} + cust_key * 5) % 1000) / 1000D, NULL)",
+            f"if(order_key % 3 = 0, ((order_key * {m + 1} + cust_key * 5) % 1000) / 1000D, NULL)",
+            f"if(order_key % 3 = 0, {cost}L, NULL)", "if(order_key % 3 = 0, 'replacement', 'unavailable')",
+        ))
+    entries.append(entry("4", "'whole_table'", "true", whole_con, whole_top, "1000L",
+                         "if(expert_status = 'success', 'replacement', 'fallback_primary')"))
+    return scores(spark, sf_dir).selectExpr(
+        "sample_id", "order_key", "issuer", "primary_con", "primary_top", f"inline(array({', '.join(entries)}))"
+    ).selectExpr("*", "con - primary_con AS benefit", "cost AS area_num", "if(available, 1000L, NULL) AS area_den",
+                 "double(cost) AS footprint")
+
+
 _SCORES = """scores AS (
-  SELECT printf('%010d-000', o_orderkey) AS sample_id, o_orderkey AS order_key,
+  SELECT printf('%010d-000', o_orderkey) AS sample_id, o_orderkey AS order_key, o_custkey AS cust_key,
     printf('issuer-%03d', c_nationkey) AS issuer,
     CASE WHEN o_orderkey % 20 = 0 THEN 'calibration' WHEN o_orderkey % 20 <= 12 THEN 'development'
          WHEN o_orderkey % 20 <= 18 THEN 'final' ELSE 'reserve' END AS cohort,
@@ -182,7 +216,31 @@ _TURNS = f"""turns AS (
   SELECT printf('conv-%06d-%03d', conv_id, turn // {REPORT_TURNS}) AS report_id, conv_id,
     (turn % {REPORT_TURNS} + 1)::INTEGER AS page_number, role, text FROM conversations)"""
 
-SQL = {"scores": _SCORES, "lines": _LINES, "cells": _CELLS, "ocr_boxes": _BOXES, "turns": _TURNS}
+_MEMBERSHIP = """membership AS (SELECT cohort, sample_id, issuer, order_key % 4 = 0 AS spanning FROM scores)"""
+
+
+def _action_sql(rank, name, available, con, top, cost, state) -> str:
+    return (f"SELECT sample_id, order_key, issuer, primary_con, primary_top, {rank} AS action_rank, '{name}' AS action, "
+            f"{available} AS available, {con} AS con, {top} AS top, {cost} AS cost, {state} AS terminal_state FROM scores")
+
+
+_ACTIONS = "raw_actions AS (" + " UNION ALL ".join([
+    _action_sql(0, "retain_primary", "true", "primary_con", "primary_top", "0::BIGINT", "'retained'"),
+    *[_action_sql(
+        rank, name, "order_key % 3 = 0",
+        f"CASE WHEN order_key % 3 = 0 THEN ((order_key * {m} + cust_key * 5) % 1000) / 1000.0::DOUBLE END",
+        f"CASE WHEN order_key % 3 = 0 THEN ((order_key * {m + 1} + cust_key * 5) % 1000) / 1000.0::DOUBLE END",
+        f"CASE WHEN order_key % 3 = 0 THEN {cost}::BIGINT END",
+        "CASE WHEN order_key % 3 = 0 THEN 'replacement' ELSE 'unavailable' END") for rank, name, m, cost in _LOCAL],
+    _action_sql(4, "whole_table", "true",
+                "CASE WHEN expert_status = 'success' THEN expert_con ELSE primary_con END",
+                "CASE WHEN expert_status = 'success' THEN expert_top ELSE primary_top END", "1000::BIGINT",
+                "CASE WHEN expert_status = 'success' THEN 'replacement' ELSE 'fallback_primary' END"),
+]) + """),
+actions AS (SELECT *, con - primary_con AS benefit, cost AS area_num, CASE WHEN available THEN 1000::BIGINT END AS area_den,
+  cost::DOUBLE AS footprint FROM raw_actions)"""
+
+SQL = {"membership": _MEMBERSHIP, "actions": _ACTIONS, "scores": _SCORES, "lines": _LINES, "cells": _CELLS, "ocr_boxes": _BOXES, "turns": _TURNS}
 
 
 def with_views(names: str, body: str) -> str:

@@ -115,6 +115,17 @@ def is_numeric_looking(text: Column) -> Column:
     return F.coalesce(certain | (F.size(F.coalesce(tokens, F.array().cast("array<string>"))) > 0), F.lit(False))
 
 
+def strict_json(text: Column) -> Column:
+    """Variant of a text that is exactly one JSON value, else null.
+
+    The built-in parser stops after the first value; inside brackets anything
+    behind it becomes a syntax error or a second element.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def native_format(text: Column) -> Column:
     """Which table notation a raw output uses, or null."""
     value = F.lower(strip(text))

@@ -7,7 +7,7 @@ from secondpass.catalog.common import Catalog, rounded
 from secondpass.catalog.views import with_views
 from secondpass.functions import scalars, text
 from secondpass.operators import tables
-from secondpass.session import scratch_path
+from secondpass.session import pin, scratch_path
 from secondpass.sources import payloads, records
 
 catalog = Catalog()
@@ -230,7 +230,7 @@ def canonical_primary_cells(spark, sf_dir):
         "if(text = '', NULL, text) AS text", "x1 AS xa", "1000D - y0 AS ya", "x0 AS xb", "1000D - y1 AS yb",
         "'BOTTOM_LEFT' AS origin", "1000D AS image_height", "row_start = 0 AS column_header", "column_start = 0 AS row_header",
         "CAST(NULL AS BOOLEAN) AS row_section")
-    return tables.canonical_cells(raw)
+    return tables.canonical_cells(pin(raw, "cells"), bounded=True)
 
 
 @catalog.add("dedupe_ocr", with_views("lines ocr_boxes", """
@@ -240,7 +240,7 @@ def dedupe_ocr(spark, sf_dir):
     boxes = views.ocr_boxes(spark, sf_dir).selectExpr(
         "sample_id", "record_no", "text", "x0 AS xa", "y0 AS ya", "x1 AS xb", "y1 AS yb", "'TOPLEFT' AS origin", "confidence", "500D AS image_height")
     copies = boxes.selectExpr("*", "explode(array(record_no * 2, record_no * 2 + 1)) AS index").drop("record_no")
-    return rounded(tables.dedupe_ocr(copies))
+    return rounded(tables.dedupe_ocr(copies, bounded=True))
 
 
 @catalog.add("cell_order", with_views("lines cells", """
@@ -248,7 +248,7 @@ SELECT sample_id, row_start, column_start, row_number() OVER (PARTITION BY sampl
 def cell_order(spark, sf_dir):
     from secondpass.operators.order import with_rank
 
-    return with_rank(views.cells(spark, sf_dir), tables.cell_order(), ["sample_id"], "position").select(
+    return with_rank(views.cells(spark, sf_dir), tables.cell_order(), ["sample_id"], "position", bounded=True).select(
         "sample_id", "row_start", "column_start", "position")
 
 

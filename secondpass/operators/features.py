@@ -11,14 +11,15 @@ from secondpass.operators.order import exact_percentiles
 from secondpass.operators.spatial import unmatched_ocr
 
 
-def ocr_features(boxes: DataFrame, cells: DataFrame, key: str = "sample_id", largest: float = 65536.0) -> DataFrame:
+def ocr_features(boxes: DataFrame, cells: DataFrame, key: str = "sample_id", largest: float = 65536.0,
+                 bounded: bool = False) -> DataFrame:
     """Confidence statistics, box count and the share of boxes outside all cells."""
     # Confidences a hair outside [0, 1] are clipped, others are ignored.
     usable = "confidence BETWEEN -1e-6 AND 1 + 1e-6"
     clipped = boxes.withColumn("_conf", F.expr(f"if({usable}, least(1D, greatest(0D, confidence)), NULL)"))
     moments = clipped.groupBy(key).agg(
         F.avg("_conf").alias("ocr_confidence_mean"), F.stddev_pop("_conf").alias("ocr_confidence_std"))
-    tail = exact_percentiles(clipped, "_conf", {"ocr_confidence_p10": 0.1}, [key])
+    tail = exact_percentiles(clipped, "_conf", {"ocr_confidence_p10": 0.1}, [key], bounded=bounded)
     matching = unmatched_ocr(boxes, cells, key, largest=largest).selectExpr(
         key, "CAST(box_count AS DOUBLE) AS ocr_box_count", "unmatched_ocr_ratio")
     return moments.join(matching, key).join(tail, key, "left")
@@ -50,11 +51,11 @@ def cell_features(cells: DataFrame, key: str = "sample_id") -> DataFrame:
 
 
 def primary_features(records: DataFrame, boxes: DataFrame, cells: DataFrame, key: str = "sample_id",
-                     keep: tuple[str, ...] = (), largest: float = 65536.0) -> DataFrame:
+                     keep: tuple[str, ...] = (), largest: float = 65536.0, bounded: bool = False) -> DataFrame:
     """Feature columns in order for every record ``(key, image_width, image_height)``; unavailable stays null."""
     aspect = F.when(F.col("image_height") > 0, F.col("image_width") / F.col("image_height"))
     joined = (
-        records.join(ocr_features(boxes, cells, key, largest), key, "left")
+        records.join(ocr_features(boxes, cells, key, largest, bounded), key, "left")
         .join(cell_features(cells, key), key, "left")
         .withColumn("image_aspect_ratio", aspect)
         .withColumn("ocr_box_count", F.coalesce("ocr_box_count", F.lit(0.0)))

@@ -72,8 +72,13 @@ def with_rank(
     groups: Sequence[str] = (),
     name: str = "rank",
     hot_rows: int = HOT_GROUP_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Add the 1-based position of every row in ``order`` (inside ``groups`` if given)."""
+    """Add the 1-based position of every row in ``order`` (inside ``groups`` if given).
+
+    ``bounded`` says that no group can exceed ``hot_rows`` by construction of the
+    keys, so group sizes need not be measured.
+    """
     groups = list(groups)
     if not groups:
         if is_large(df, hot_rows):
@@ -82,7 +87,7 @@ def with_rank(
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     window = Window.partitionBy(*groups).orderBy(*order)
     plain = F.row_number().over(window).cast("long")
-    hot = hot_groups(df, groups, hot_rows)
+    hot = None if bounded else hot_groups(df, groups, hot_rows)
     if hot is None:
         return df.withColumn(name, plain)
     cold_rows = df.join(hot, _null_safe(df, hot, groups), "left_anti").withColumn(name, plain)
@@ -165,22 +170,28 @@ def exact_percentiles(
     probabilities: dict[str, float],
     groups: Sequence[str] = (),
     hot_rows: int = HOT_GROUP_ROWS,
+    bounded: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolation percentiles, exact for any group size.
+    """Linear-interpolation percentiles, exact for any group size (``bounded`` as in ``with_rank``).
+
+    ``weight`` names a column of whole counts for rows that were counted before.
 
     ``probabilities`` maps output column to probability.  Nulls are ignored.
     Returns one row per group with at least one value.
     """
     groups = list(groups)
-    present = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    if groups and hot_groups(present, groups, hot_rows) is None:
+    count = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    present = df.where(F.col(value).isNotNull()).select(
+        *groups, F.col(value).cast("double").alias("_v"), count.alias("_w"))
+    if groups and (bounded or hot_groups(present, groups, hot_rows) is None):
         return present.groupBy(*groups).agg(
-            *[F.percentile("_v", F.lit(p)).alias(column) for column, p in probabilities.items()]
+            *[F.percentile("_v", F.lit(p), F.col("_w")).alias(column) for column, p in probabilities.items()]
         )
     if not groups:
         present = present.withColumn("_all", F.lit(1))
     keys = groups or ["_all"]
-    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = present.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
     running = with_running_total(counts, ["_v"], "_c", groups, "_upto", hot_rows)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     joined = running.join(totals, keys)

@@ -115,7 +115,7 @@ def validate_cells(cells: DataFrame, key: str = "sample_id", allow_overlaps: boo
     return rules.unionByName(clashes)
 
 
-def canonical_cells(cells: DataFrame, key: str = "sample_id") -> DataFrame:
+def canonical_cells(cells: DataFrame, key: str = "sample_id", bounded: bool = False) -> DataFrame:
     """Valid cells numbered in canonical order, text never null; tables with an invalid range are left out.
 
     Input boxes have corners ``xa, ya, xb, yb``, an ``origin`` and ``image_height``.
@@ -136,19 +136,20 @@ def canonical_cells(cells: DataFrame, key: str = "sample_id") -> DataFrame:
         F.coalesce("column_header", F.lit(False)).alias("is_column_header"),
         (F.coalesce("row_header", F.lit(False)) | F.coalesce("row_section", F.lit(False))).alias("is_row_header"),
     )
-    numbered = with_rank(kept, cell_order(has_box=True), [key], "cell_no")
+    numbered = with_rank(kept, cell_order(has_box=True), [key], "cell_no", bounded=bounded)
     return numbered.withColumn("cell_no", F.col("cell_no") - 1)
 
 
 def dedupe_ocr(boxes: DataFrame, key: str = "sample_id", position: str = "index",
-               identity: Sequence[str] = ("text", "xa", "ya", "xb", "yb", "origin", "confidence")) -> DataFrame:
+               identity: Sequence[str] = ("text", "xa", "ya", "xb", "yb", "origin", "confidence"),
+               bounded: bool = False) -> DataFrame:
     """First of every structurally equal text box, renumbered from 0; invalid evidence becomes null."""
     columns = [c for c in boxes.columns if c not in (key, position)]
     firsts = boxes.groupBy(key, *identity).agg(
         F.min(position).alias("_first"),
         *[F.min_by(c, position).alias(c) for c in columns if c not in identity],
     )
-    ranked = with_rank(firsts, ["_first"], [key], "record_no").withColumn("record_no", F.col("record_no") - 1)
+    ranked = with_rank(firsts, ["_first"], [key], "record_no", bounded=bounded).withColumn("record_no", F.col("record_no") - 1)
     box = to_top_left(*[F.col(c) for c in ("xa", "ya", "xb", "yb", "origin", "image_height")])
     finite = ~F.isnan("confidence") & (F.abs("confidence") != float("inf"))
     return ranked.withColumn("_box", box).select(

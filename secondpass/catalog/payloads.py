@@ -7,7 +7,7 @@ from secondpass.catalog.common import Catalog, rounded
 from secondpass.catalog.views import with_views
 from secondpass.functions import scalars, text
 from secondpass.operators import tables
-from secondpass.session import pin, scratch_path
+from secondpass.session import pin, scratch_path, spread
 from secondpass.sources import payloads, records
 
 catalog = Catalog()
@@ -114,7 +114,7 @@ def html_payloads(spark, sf_dir):
     span = F.when(F.col("column_end") - F.col("column_start") > 1, ' colspan="2"').otherwise("")
     opening = F.when(F.col("column_start") > 0, "").when(F.col("row_start") > 0, "</tr><tr>").otherwise("<tr>")
     piece = F.concat(opening, F.lit("<td"), span, F.lit(">"), F.col("text"), F.lit("</td>"))
-    return views.cells(spark, sf_dir).groupBy("sample_id", "order_key").agg(
+    return spread(views.cells(spark, sf_dir), "sample_id", "order_key").groupBy("sample_id", "order_key").agg(
         F.array_sort(F.collect_list(F.struct("row_start", "column_start", piece.alias("piece")))).alias("pieces")
     ).selectExpr("sample_id", "order_key", "concat('<table>', array_join(pieces.piece, ''), '</tr>', "
                  "if(order_key % 17 = 0, '', '</table>')) AS payload")
@@ -142,7 +142,7 @@ def markdown_payloads(spark, sf_dir):
     """One pipe table per sheet; every 17th order has a code fence."""
     row = F.expr("concat('| ', concat_ws(' | ', t0, t1, replace(concat(t2, '|'), '|', '\\\\|'), t3), ' |', "
                  "if(r = 0, '\\n|---|:--|--:|:-:|', ''))")
-    return views.lines(spark, sf_dir).select("sample_id", "order_key", "r", row.alias("row")).groupBy("sample_id", "order_key").agg(
+    return spread(views.lines(spark, sf_dir).select("sample_id", "order_key", "r", row.alias("row")), "sample_id", "order_key").groupBy("sample_id", "order_key").agg(
         F.array_sort(F.collect_list(F.struct("r", "row"))).alias("rows")
     ).selectExpr("sample_id", "order_key", "concat(if(order_key % 17 = 0, '```\\n', ''), array_join(rows.row, '\\n')) AS payload")
 
@@ -174,7 +174,7 @@ UNION ALL SELECT sample_id, 'success', 2 * r + 1, 2 * r + 2, 1, 2, t1 FROM lines
 UNION ALL SELECT sample_id, 'success', 2 * r + 1, 2 * r + 2, 2, 3, t3 FROM lines"""))
 def span_placement(spark, sf_dir):
     row = F.expr("concat('<tr><td rowspan=2>', t0, '</td><td colspan=2>', t2, '</td></tr><tr><td>', t1, '</td><td>', t3, '</td></tr>')")
-    payload = views.lines(spark, sf_dir).select("sample_id", "r", row.alias("row")).groupBy("sample_id").agg(
+    payload = spread(views.lines(spark, sf_dir).select("sample_id", "r", row.alias("row")), "sample_id").groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct("r", "row"))).alias("rows")
     ).selectExpr("sample_id", "concat('<table>', array_join(rows.row, ''), '</table>') AS payload")
     return tables.parse_tables(payload, ["sample_id"], "payload", "html").select(
@@ -258,7 +258,7 @@ def structure_payloads(spark, sf_dir):
     """Structure XML per sheet: table, rows, columns, header and span objects; every 31st order has two sizes."""
     box = "concat('<bndbox><xmin>', {0}, '</xmin><ymin>', {1}, '</ymin><xmax>', {2}, '</xmax><ymax>', {3}, '</ymax></bndbox></object>')"
     obj = lambda name, *sides: f"concat('<object><name>{name}</name>', {box.format(*sides)})"
-    per_row = views.lines(spark, sf_dir).groupBy("sample_id", "order_key").agg(F.max("r").alias("top"))
+    per_row = spread(views.lines(spark, sf_dir), "sample_id", "order_key").groupBy("sample_id", "order_key").agg(F.max("r").alias("top"))
     columns = [obj("table column", 100 * c, 0, 100 * c + 90, "top * 20 + 18") for c in range(4)]
     return per_row.selectExpr("sample_id", "order_key", f"""concat('<annotation xmlns="urn:x"><size><width>400</width><height>', top * 20 + 20,
       '</height></size>', if(order_key % 31 = 0, '<size/>', ''), {obj("table", 0, 0, 390, "top * 20 + 18")},

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from secondpass.operators.expectations import ACTIONS, LOCAL_ACTIONS, WHOLE_TABLE_COST
 from secondpass.operators.order import with_rank, with_running_total
-from secondpass.session import pin
+from secondpass.session import pin, spread
 
 # Smallest benefit of an action worth taking, and the digits benefits are compared with.
 BENEFIT_TOLERANCE = 1e-12
@@ -92,56 +92,68 @@ def _better(a: tuple, b: tuple) -> bool:
     return (-round(a[0], _DIGITS), *a[1:]) < (-round(b[0], _DIGITS), *b[1:])
 
 
-def _keep(states: dict, cost: int, state: tuple, limit: int) -> None:
-    if cost <= limit and (cost not in states or _better(state, states[cost])):
-        states[cost] = state
-
-
 def _frame(states: dict) -> pd.DataFrame:
     rows = [(cost, *state) for cost, state in sorted(states.items())]
     return pd.DataFrame(rows, columns=["cost", "benefit", "area", "footprint", "whole", "ranks"])
 
 
 def _chunk_solver(limit: int, keys: Sequence[str]):
-    columns = ["benefit", "cost", "area_num", "footprint", "action", "action_rank"]
+    columns = ["sample_id", "benefit", "cost", "area_num", "footprint", "action", "action_rank"]
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        menus: dict[str, list[tuple]] = {}
+        for name, benefit, cost, area, footprint, action, rank in rows[columns].itertuples(index=False, name=None):
+            menus.setdefault(name, []).append((cost, benefit, area, footprint, int(action == "whole_table"), str(rank)))
         states = {0: (0.0, 0, 0.0, 0, "")}
-        for _, options in rows.sort_values("sample_id").groupby("sample_id", sort=True):
-            reached: dict = {}
-            for cost, (benefit, area, footprint, whole, ranks) in states.items():
-                for o_benefit, o_cost, o_area, o_foot, o_action, o_rank in options[columns].itertuples(index=False):
-                    _keep(reached, cost + o_cost, (benefit + o_benefit, area + o_area, footprint + o_foot,
-                                                   whole + (o_action == "whole_table"), ranks + str(o_rank)), limit)
-            states = reached
-        result = _frame(states)
-        for key in keys:
-            result.insert(0, key, rows[key].iloc[0])
-        return result
+        for name in sorted(menus):
+            states = _combine(states, menus[name], limit)
+        return _keyed(_frame(states), rows, keys)
 
     return solve
 
 
+def _combine(states: dict, options: list[tuple], limit: int) -> dict:
+    """Best state per cost after adding one of the options to one of the states."""
+    reached: dict = {}
+    for cost, (benefit, area, footprint, whole, ranks) in states.items():
+        for o_cost, o_benefit, o_area, o_footprint, o_whole, o_ranks in options:
+            total = cost + o_cost
+            if total > limit:
+                continue
+            held = reached.get(total)
+            # Most candidates lose on benefit alone; only close ones are built and compared.
+            if held is None or benefit + o_benefit > held[0] - 2 * BENEFIT_TOLERANCE:
+                state = (benefit + o_benefit, area + o_area, footprint + o_footprint, whole + o_whole, ranks + o_ranks)
+                if held is None or _better(state, held):
+                    reached[total] = state
+    # A dearer state without more benefit can never end up in the optimum.
+    kept, best = {}, None
+    for total in sorted(reached):
+        if best is None or round(reached[total][0], _DIGITS) > best:
+            kept[total], best = reached[total], round(reached[total][0], _DIGITS)
+    return kept
+
+
+def _keyed(frame: pd.DataFrame, rows: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    for key in keys:
+        frame.insert(0, key, rows[key].iloc[0])
+    return frame
+
+
 def _merger(limit: int, keys: Sequence[str]):
+    columns = ["chunk", "cost", "benefit", "area", "footprint", "whole", "ranks"]
+
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [list(part.sort_values("cost")[["cost", "benefit", "area", "footprint", "whole", "ranks"]].itertuples(index=False))
-                 for _, part in sorted(rows.groupby("chunk"), key=lambda item: item[0])]
-        first, *others = parts
-        states = {row[0]: tuple(row[1:]) for row in first}
+        parts: dict[int, list[tuple]] = {}
+        for chunk, *state in rows[columns].itertuples(index=False, name=None):
+            parts.setdefault(chunk, []).append(tuple(state))
+        first, *others = [parts[chunk] for chunk in sorted(parts)]
+        states = {state[0]: state[1:] for state in first}
         for other in others:
-            merged: dict = {}
-            for cost, left in states.items():
-                for o_cost, *right in other:
-                    if cost + o_cost > limit:
-                        break
-                    _keep(merged, cost + o_cost, (left[0] + right[0], left[1] + right[1], left[2] + right[2],
-                                                  left[3] + right[3], left[4] + right[4]), limit)
-            states = merged
+            states = _combine(states, other, limit)
         result = _frame(states)
-        result.insert(0, "chunk", int(rows["chunk"].min()) // 2)
-        for key in keys:
-            result.insert(0, key, rows[key].iloc[0])
-        return result
+        result.insert(0, "chunk", int(min(parts)) // 2)
+        return _keyed(result, rows, keys)
 
     return merge
 
@@ -162,15 +174,15 @@ def choice_frontier(actions: DataFrame, budgets: Sequence[int], segment: Sequenc
         "chunk", F.floor((F.col("_n") - 1) / chunk_records)).drop("_n")
     types = {f.name: f.dataType.simpleString() for f in actions.schema}
     key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    states = chunked.groupBy(*keys, "chunk").applyInPandas(
+    states = spread(chunked, *keys, "chunk").groupBy(*keys, "chunk").applyInPandas(
         _chunk_solver(limit, ["chunk", *reversed(keys)]), f"{key_ddl}, chunk bigint, {_STATE}")
     states = pin(states, "frontier")
     merge = _merger(limit, list(reversed(keys)))
     while states.where("chunk > 0").take(1):
         # Neighbours in id order meet, so chosen ranks stay in id order.
         paired = states.withColumn("_pair", F.floor(F.col("chunk") / 2))
-        states = pin(paired.groupBy(*keys, "_pair").applyInPandas(
-            lambda rows: merge(rows), f"{key_ddl}, chunk bigint, {_STATE}"), "frontier")
+        states = pin(spread(paired, *keys, "_pair").groupBy(*keys, "_pair").applyInPandas(
+            merge, f"{key_ddl}, chunk bigint, {_STATE}"), "frontier")
     grid = ", ".join(f"{int(b)}L" for b in budgets)
     reachable = states.select("*", F.explode(F.expr(f"filter(array({grid}), b -> cost <= b)")).alias("budget"))
     # Same order as inside the search: benefit, cost, area, footprint, whole calls, ranks.

@@ -59,3 +59,12 @@ def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over the full number of shuffle partitions.
+
+    For steps whose work is far larger than their bytes (Python functions):
+    adaptive execution would merge such small partitions into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

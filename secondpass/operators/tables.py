@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from secondpass.functions import tables as reader
 from secondpass.functions.geometry import to_top_left
@@ -14,11 +15,6 @@ from secondpass.functions.text import normalize_text, sanitize_error
 from secondpass.operators.order import with_rank
 from secondpass.operators.spatial import box_pairs
 
-CELL_TYPE = (
-    "struct<row_start:int,row_end:int,column_start:int,column_end:int,text:string,"
-    "is_column_header:boolean,is_row_header:boolean>"
-)
-_PARSED_TYPE = f"struct<status:string,format:string,error:string,cells:array<{CELL_TYPE}>>"
 _CELL_ARROW = pa.struct([
     ("row_start", pa.int32()), ("row_end", pa.int32()), ("column_start", pa.int32()), ("column_end", pa.int32()),
     ("text", pa.string()), ("is_column_header", pa.bool_()), ("is_row_header", pa.bool_()),
@@ -42,7 +38,7 @@ def _read(text: str | None, notation: str, strict: bool) -> dict:
 
 
 def _parser(notation: str, strict: bool):
-    @F.arrow_udf(_PARSED_TYPE)
+    @F.arrow_udf(from_arrow_type(_PARSED_ARROW))
     def parse(payload: pa.Array) -> pa.Array:
         return pa.array([_read(text, notation, strict) for text in payload.to_pylist()], type=_PARSED_ARROW)
 
@@ -72,11 +68,14 @@ def parse_table_records(df: DataFrame, id_cols: Sequence[str], payload: str, not
     return parsed.select(*id_cols, "_parsed.status", "_parsed.format", "_parsed.error", "_parsed.cells")
 
 
-@F.arrow_udf("struct<table_count:int,blocks:array<string>,nested:boolean,malformed:boolean>")
+_FOUND_ARROW = pa.struct([
+    ("table_count", pa.int32()), ("blocks", pa.list_(pa.string())), ("nested", pa.bool_()), ("malformed", pa.bool_()),
+])
+
+
+@F.arrow_udf(from_arrow_type(_FOUND_ARROW))
 def _top_level(markup: pa.Array) -> pa.Array:
-    kind = pa.struct([("table_count", pa.int32()), ("blocks", pa.list_(pa.string())),
-                      ("nested", pa.bool_()), ("malformed", pa.bool_())])
-    return pa.array([None if m is None else reader.top_level_tables(m) for m in markup.to_pylist()], type=kind)
+    return pa.array([None if m is None else reader.top_level_tables(m) for m in markup.to_pylist()], type=_FOUND_ARROW)
 
 
 def top_level_tables(df: DataFrame, id_cols: Sequence[str], markup: str) -> DataFrame:

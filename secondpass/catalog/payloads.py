@@ -281,7 +281,7 @@ SELECT sample_id, 400.0::DOUBLE AS width, (top * 20 + 20)::DOUBLE AS height, obj
   y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, NULL::VARCHAR AS reason FROM objects WHERE order_key % 31 <> 0
 UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'needs exactly one size' FROM tops WHERE order_key % 31 = 0"""))
 def parse_structure_xml(spark, sf_dir):
-    good, bad = payloads.parse_structure_xml(structure_payloads(spark, sf_dir), ["sample_id"], "payload")
+    good, bad = payloads.parse_structure_xml(pin(structure_payloads(spark, sf_dir), "payloads"), ["sample_id"], "payload")
     return good.unionByName(bad, allowMissingColumns=True)
 
 
@@ -296,7 +296,7 @@ def parse_content_json(spark, sf_dir):
         F.expr(f"array_sort(collect_list({record})).entry AS ocr")).selectExpr(
         "sample_id", "concat(regexp_replace(to_json(struct(ocr)), '\"text\":\"([^\"]*)\"', if(order_key % 37 = 1, '\"text\":5', '\"text\":\"$1\"')), "
         "if(order_key % 37 = 0, '}', '')) AS payload")
-    good, bad = payloads.parse_content_json(df, ["sample_id"], "payload")
+    good, bad = payloads.parse_content_json(pin(df, "payloads"), ["sample_id"], "payload")
     return good.unionByName(bad, allowMissingColumns=True)
 
 

@@ -339,7 +339,7 @@ def check_report_completeness(spark, sf_dir):
 SELECT "check", violations, sample_key FROM (VALUES ('rank_in_range', 1::BIGINT, NULL), ('score_finite', 0, NULL), ('call_count', 1, 'route'),
   ('ids_unique', 0, NULL), ('ranks_unique', 0, NULL), ('outcomes_add_up', 0, NULL), ('fallbacks_add_up', 0, NULL)) v("check", violations, sample_key)
 WHERE "check" <> 'rank_in_range' UNION ALL
-SELECT 'rank_in_range', 1, sample_id FROM (SELECT sample_id, row_number() OVER (ORDER BY pred_benefit DESC, sample_id) AS rank FROM scores) WHERE rank = 2000"""))
+SELECT 'rank_in_range', count(*), min(sample_id) FROM (SELECT sample_id, row_number() OVER (ORDER BY pred_benefit DESC, sample_id) AS rank FROM scores) WHERE rank = 2000"""))
 def check_calls(spark, sf_dir):
     s = views.scores(spark, sf_dir)
     top = routing.route_for_budget(s.selectExpr("sample_id", "pred_benefit AS score"), "score", 2000)

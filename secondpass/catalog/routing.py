@@ -194,7 +194,7 @@ means AS (SELECT repetition, avg(primary_con + CASE WHEN rank <= 2000 THEN benef
   FROM drawn JOIN labelled USING (sample_id) GROUP BY repetition),
 target AS (SELECT avg(primary_con + CASE WHEN rank <= 2000 THEN benefit ELSE 0.0 END) AS target FROM (
   SELECT *, row_number() OVER (ORDER BY pred_benefit DESC, sample_id) AS rank FROM labelled))
-SELECT round(any_value(target), 9) AS target, avg((hybrid_con <= target)::INTEGER) AS share_at_or_below,
+SELECT round(any_value(target), 9) AS target, avg((round(hybrid_con, 12) <= round(target, 12))::INTEGER) AS share_at_or_below,
   round(avg(hybrid_con), 9) AS mean, round(median(hybrid_con), 9) AS median,
   round(quantile_cont(hybrid_con, 0.025), 9) AS lower, round(quantile_cont(hybrid_con, 0.975), 9) AS upper
 FROM means, target""")

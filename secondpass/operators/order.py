@@ -22,20 +22,21 @@ HOT_GROUP_ROWS = 1_000_000
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Groups with more than ``hot_rows`` rows, or None when there are none."""
+    """Groups with more than ``hot_rows`` rows as columns ``_h0`` …, or None when there are none."""
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    counts = counts.select(*groups)
+    counts = counts.select(*[F.col(group).alias(f"_h{i}") for i, group in enumerate(groups)])
     return counts if counts.take(1) else None
 
 
+def _same_group(groups: Sequence[str], prefix: str) -> Column:
+    """Null-safe match of group columns with their renamed copies."""
+    condition = F.lit(True)
+    for i, group in enumerate(groups):
+        condition = condition & F.col(group).eqNullSafe(F.col(f"{prefix}{i}"))
+    return condition
+
+
 def is_large(df: DataFrame, rows: int) -> bool:
     """Whether the whole table holds more than ``rows`` rows."""
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"] > rows
@@ -90,14 +91,11 @@ def with_rank(
     hot = None if bounded else hot_groups(df, groups, hot_rows)
     if hot is None:
         return df.withColumn(name, plain)
-    cold_rows = df.join(hot, _null_safe(df, hot, groups), "left_anti").withColumn(name, plain)
-    ranked = _global_rank(df.join(hot, _null_safe(df, hot, groups), "left_semi"), [*groups, *order], "_global")
+    cold_rows = df.join(hot, _same_group(groups, "_h"), "left_anti").withColumn(name, plain)
+    ranked = _global_rank(df.join(hot, _same_group(groups, "_h"), "left_semi"), [*groups, *order], "_global")
     starts = ranked.groupBy(*groups).agg((F.min("_global") - 1).alias("_start"))
     renamed = starts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_start")
-    condition = F.lit(True)
-    for i, group in enumerate(groups):
-        condition = condition & F.col(group).eqNullSafe(F.col(f"_g{i}"))
-    hot_rows_ranked = ranked.join(renamed, condition).withColumn(name, F.col("_global") - F.col("_start"))
+    hot_rows_ranked = ranked.join(renamed, _same_group(groups, "_g")).withColumn(name, F.col("_global") - F.col("_start"))
     return cold_rows.unionByName(hot_rows_ranked.select(*df.columns, name))
 
 
@@ -132,19 +130,16 @@ def with_running_total(
     hot = hot_groups(df, groups, hot_rows)
     if hot is None:
         return df.withColumn(name, F.sum(value).over(window))
-    cold_rows = df.join(hot, _null_safe(df, hot, groups), "left_anti").withColumn(name, F.sum(value).over(window))
+    cold_rows = df.join(hot, _same_group(groups, "_h"), "left_anti").withColumn(name, F.sum(value).over(window))
     totals = _global_running(
-        df.join(hot, _null_safe(df, hot, groups), "left_semi"), [*groups, *order], value, "_global"
+        df.join(hot, _same_group(groups, "_h"), "left_semi"), [*groups, *order], value, "_global"
     )
     starts = totals.groupBy(*groups).agg(F.min(F.struct("_global", value)).alias("_first"))
     renamed = starts.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
         (F.col("_first._global") - F.col(f"_first.{value}")).alias("_start"),
     )
-    condition = F.lit(True)
-    for i, group in enumerate(groups):
-        condition = condition & F.col(group).eqNullSafe(F.col(f"_g{i}"))
-    hot_totals = totals.join(renamed, condition).withColumn(name, F.col("_global") - F.col("_start"))
+    hot_totals = totals.join(renamed, _same_group(groups, "_g")).withColumn(name, F.col("_global") - F.col("_start"))
     return cold_rows.unionByName(hot_totals.select(*df.columns, name))
 
 
@@ -158,10 +153,7 @@ def with_midrank(df: DataFrame, value: str, groups: Sequence[str] = (), name: st
         F.col(value).alias("_value"),
         (F.col("_upto") - (F.col("_peers") - 1) / 2.0).alias(name),
     )
-    condition = F.col(value).eqNullSafe(F.col("_value"))
-    for i, group in enumerate(groups):
-        condition = condition & F.col(group).eqNullSafe(F.col(f"_g{i}"))
-    return df.join(ranks, condition).drop("_value", *[f"_g{i}" for i in range(len(groups))])
+    return df.join(ranks, _same_group(groups, "_g") & F.col(value).eqNullSafe(F.col("_value"))).drop("_value", *[f"_g{i}" for i in range(len(groups))])
 
 
 def exact_percentiles(

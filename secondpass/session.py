@@ -45,8 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/secondpass-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the scratch tables of this application, once no result reads them any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:

@@ -10,6 +10,7 @@ size is bounded by the budget.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,7 +85,8 @@ def exact_k_frontier(actions: DataFrame, segment: Sequence[str] = (), id_col: st
 # ---------------------------------------------------------------- multiple choice
 
 # One frontier state: cost → (benefit, area, footprint, whole calls, chosen ranks).
-_STATE = "cost bigint, benefit double, area bigint, footprint double, whole bigint, ranks string"
+# Areas are exact fractions; between tasks they travel as text ("3/8").
+_STATE = "cost bigint, benefit double, area string, footprint double, whole bigint, ranks string"
 
 
 def _better(a: tuple, b: tuple) -> bool:
@@ -93,18 +95,19 @@ def _better(a: tuple, b: tuple) -> bool:
 
 
 def _frame(states: dict) -> pd.DataFrame:
-    rows = [(cost, *state) for cost, state in sorted(states.items())]
+    rows = [(cost, state[0], str(state[1]), *state[2:]) for cost, state in sorted(states.items())]
     return pd.DataFrame(rows, columns=["cost", "benefit", "area", "footprint", "whole", "ranks"])
 
 
 def _chunk_solver(limit: int, keys: Sequence[str]):
-    columns = ["sample_id", "benefit", "cost", "area_num", "footprint", "action", "action_rank"]
+    columns = ["sample_id", "benefit", "cost", "area_num", "area_den", "footprint", "action", "action_rank"]
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         menus: dict[str, list[tuple]] = {}
-        for name, benefit, cost, area, footprint, action, rank in rows[columns].itertuples(index=False, name=None):
-            menus.setdefault(name, []).append((cost, benefit, area, footprint, int(action == "whole_table"), str(rank)))
-        states = {0: (0.0, 0, 0.0, 0, "")}
+        for name, benefit, cost, num, den, footprint, action, rank in rows[columns].itertuples(index=False, name=None):
+            option = (cost, benefit, Fraction(int(num), int(den)), footprint, int(action == "whole_table"), str(rank))
+            menus.setdefault(name, []).append(option)
+        states = {0: (0.0, Fraction(0), 0.0, 0, "")}
         for name in sorted(menus):
             states = _combine(states, menus[name], limit)
         return _keyed(_frame(states), rows, keys)
@@ -145,8 +148,8 @@ def _merger(limit: int, keys: Sequence[str]):
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         parts: dict[int, list[tuple]] = {}
-        for chunk, *state in rows[columns].itertuples(index=False, name=None):
-            parts.setdefault(chunk, []).append(tuple(state))
+        for chunk, cost, benefit, area, *rest in rows[columns].itertuples(index=False, name=None):
+            parts.setdefault(chunk, []).append((cost, benefit, Fraction(area), *rest))
         first, *others = [parts[chunk] for chunk in sorted(parts)]
         states = {state[0]: state[1:] for state in first}
         for other in others:
@@ -162,13 +165,13 @@ def choice_frontier(actions: DataFrame, budgets: Sequence[int], segment: Sequenc
                     id_col: str = "sample_id", chunk_records: int = 32) -> DataFrame:
     """Exact best choice of one action per record, per segment and budget.
 
-    Returns cost, benefit, area, footprint, whole-table calls and the chosen
-    action ranks in id order.  Areas share one denominator within a segment.
+    Returns cost, benefit, area (an exact fraction as text), footprint,
+    whole-table calls and the chosen action ranks in id order.
     """
     keys = list(segment)
     limit = int(max(budgets))
     options = eligible_actions(actions).select(
-        *keys, F.col(id_col).alias("sample_id"), "action", "action_rank", "benefit", "cost", "area_num", "footprint")
+        *keys, F.col(id_col).alias("sample_id"), "action", "action_rank", "benefit", "cost", "area_num", "area_den", "footprint")
     ids = with_rank(options.select(*keys, "sample_id").distinct(), ["sample_id"], keys, "_n")
     chunked = options.join(ids, [*keys, "sample_id"]).withColumn(
         "chunk", F.floor((F.col("_n") - 1) / chunk_records)).drop("_n")
@@ -185,8 +188,8 @@ def choice_frontier(actions: DataFrame, budgets: Sequence[int], segment: Sequenc
             merge, f"{key_ddl}, chunk bigint, {_STATE}"), "frontier")
     grid = ", ".join(f"{int(b)}L" for b in budgets)
     reachable = states.select("*", F.explode(F.expr(f"filter(array({grid}), b -> cost <= b)")).alias("budget"))
-    # Same order as inside the search: benefit, cost, area, footprint, whole calls, ranks.
-    sort_key = F.struct((-F.round("benefit", _DIGITS)).alias("b"), "cost", "area", "footprint", "whole", "ranks")
+    # Kept states rise strictly in benefit with their cost, so the best affordable one is unique.
+    sort_key = F.struct((-F.round("benefit", _DIGITS)).alias("b"), "cost")
     value = F.struct("cost", "benefit", "area", "footprint", "whole", "ranks")
     return reachable.groupBy(*keys, "budget").agg(F.min_by(value, sort_key).alias("_best")).select(*keys, "budget", "_best.*")
 

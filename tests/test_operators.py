@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -173,6 +174,9 @@ def test_choice_frontier_equals_enumeration(spark):
             best = max(sum(o[1] for o in pick) for pick in itertools.product(*[options[n] for n in names]) if sum(o[0] for o in pick) <= budget)
             assert abs(found[budget]["benefit"] - best) < 1e-9 and found[budget]["cost"] <= budget
             assert len(found[budget]["ranks"]) == len(names)
+    thirds = df.withColumn("area_den", F.expr("if(available, 3000L, NULL)"))
+    exact = allocation.choice_frontier(thirds, (7000,), chunk_records=2).first()
+    assert Fraction(exact["area"]) == Fraction(exact["cost"], 3000)
     frontier = allocation.choice_frontier(df, budgets, chunk_records=2)
     chosen = allocation.chosen_actions(frontier, df)
     assert allocation.full_budget_check(chosen, df, 7000).count() == 0

@@ -48,3 +48,16 @@ def test_percentiles_match_numpy_on_both_paths(spark):
 def test_midrank_averages_ties(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (3,)], "v int")
     assert sorted((r["v"], r["midrank"]) for r in with_midrank(df, "v").collect()) == [(1, 1.0), (2, 2.5), (2, 2.5), (3, 4.0)]
+
+
+def test_null_groups_survive_the_range_path(spark):
+    df = spark.createDataFrame([(None, i) for i in range(30)] + [("a", i) for i in range(3)], "g string, v int")
+    rows = with_rank(df, ["v"], ["g"], hot_rows=10).collect()
+    assert len(rows) == 33 and all(r["rank"] == r["v"] + 1 for r in rows)
+
+
+def test_counted_values_equal_repeated_values(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (7.0, 4)], "v double, n int")
+    repeated = df.selectExpr("v", "explode(sequence(1, n))").select("v")
+    want = exact_percentiles(repeated, "v", {"p": 0.45}).first()["p"]
+    assert exact_percentiles(df, "v", {"p": 0.45}, weight="n").first()["p"] == want

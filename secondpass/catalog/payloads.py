@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from secondpass.catalog import views
 from secondpass.catalog.common import Catalog, rounded
 from secondpass.catalog.views import with_views
-from secondpass.functions import scalars, text
+from secondpass.functions import text
 from secondpass.operators import tables
 from secondpass.session import pin, scratch_path, spread
 from secondpass.sources import payloads, records

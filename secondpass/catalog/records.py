@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from secondpass.catalog import views
 from secondpass.catalog.common import Catalog, rounded
-from secondpass.catalog.routing import labelled
 from secondpass.catalog.views import with_views
 from secondpass.functions import scalars
 from secondpass.operators import expectations, records, routing

@@ -291,7 +291,8 @@ def tune(df: DataFrame, features: Sequence[str], target: str, group: str, family
     models = fold_models(assigned, features, target, family, settings, folds)
     errors = aggregates.mean_squared_error(
         held_out_predictions(assigned, models, [target]), "prediction", target, ["params", "fold"])
-    errors = pin(errors, "tuning")
+    # One row per fold and setting.
+    errors = df.sparkSession.createDataFrame(errors.collect(), errors.schema)
     best = errors.groupBy("params").agg(F.avg("mse").alias("mse")).orderBy("mse", "params").first()["params"]
     return next(s for s in settings if _key(s) == best), errors
 

@@ -9,6 +9,7 @@ from secondpass.llm.common import documents
 from secondpass.llm.exact_dedup import exact_dedup
 from secondpass.llm.packing import pack
 from secondpass.llm.sharding import shard_documents
+from secondpass.llm.simhash import near_duplicates
 from secondpass.llm.token_counts import token_counts
 
 catalog = Catalog()
@@ -29,6 +30,11 @@ def op3_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), VOCABULARY)
 
 
+@catalog.add("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @catalog.add("op7_sharding")
 def op7_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))

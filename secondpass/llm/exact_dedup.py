@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondpass.llm.common import id_and_text
+from secondpass.llm.common import drop_documents, id_and_text
 from secondpass.session import pin
 
 BUCKET_KEYS = 50_000  # distinct digests per bucket of the index
@@ -180,6 +180,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every text: that of the largest id."""
+    found = exact_dedup(docs, id_col, text_col)
+    left = drop_documents(docs, found.where("NOT kept").select("doc_id", "text_sha256"), id_col, text_col)
+    prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    if prints.groupBy("doc_id", "h").count().where("count > 1").take(1):
+        # Rows equal in id and text cannot be told apart by a key: one of each stays.
+        left = left.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates(["_text"]).drop("_text")
+    return left
+
+
 def digest(text: str | None) -> str:
     """The digest of one text, for tests."""
     return hashlib.sha256((text or "").encode()).hexdigest()

@@ -6,11 +6,13 @@ import public_tokenizers
 
 from secondpass.catalog.common import Catalog
 from secondpass.llm.common import documents
+from secondpass.llm.decontamination import contamination
 from secondpass.llm.exact_dedup import exact_dedup
 from secondpass.llm.packing import pack
 from secondpass.llm.sharding import shard_documents
 from secondpass.llm.simhash import near_duplicates
 from secondpass.llm.token_counts import token_counts
+from secondpass.llm.toxicity import toxicity
 
 catalog = Catalog()
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,11 +37,21 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+@catalog.add("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @catalog.add("op7_sharding")
 def op7_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))
 
 
+@catalog.add("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @catalog.add("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), VOCABULARY)

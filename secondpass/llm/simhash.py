@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondpass.llm.common import id_and_text
+from secondpass.llm.common import drop_documents, id_and_text
 from secondpass.llm.graph import components
 from secondpass.session import pin
 
@@ -68,15 +68,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return sum(1 << bit for bit in range(64) if 2 * counts[bit] > n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long, for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
+    """doc_id and the fingerprint as a signed long (and, if wanted, text_sha256), for every row."""
+    extra = ["text_sha256"] if with_sha else []
 
     def compute(batches):
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            kept = [batch.column(2 + i) for i in range(len(extra))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *kept], ["doc_id", "fp", *extra])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(compute, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col)
+    rows = rows.select("*", *[F.sha2("text", 256).alias(name) for name in extra])
+    return rows.mapInArrow(compute, "doc_id long, fp long" + "".join(f", {name} string" for name in extra))
 
 
 def _half_variants(batches):
@@ -151,9 +155,9 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(inside).unionByName(around.distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links, of every row."""
-    rows = pin(fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = pin(fingerprints(docs, id_col, text_col, with_sha), "fingerprints")
     distinct = pin(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     root = components(links(distinct))
     named = distinct.join(root.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
@@ -163,7 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Most fingerprints are alone; only the others have a component to look up.
     member = pin(named.join(least, "root").select("fp", "component_id"), "members")
     hot = _hot(rows, member)
-    return hot.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    printed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return hot.select("doc_id", printed, "component_id", *(["text_sha256"] if with_sha else []))
 
 
 def _hot(rows: DataFrame, member: DataFrame) -> DataFrame:
@@ -176,6 +181,19 @@ def _hot(rows: DataFrame, member: DataFrame) -> DataFrame:
     return rest.unionByName(rows.join(F.broadcast(few), "fp"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of every component: the smallest id, of equal ids the smallest digest."""
+    found = pin(near_duplicates(docs, id_col, text_col, with_sha=True), "near-duplicates")
+    stays = F.min(F.struct("doc_id", "text_sha256"))
+    least = found.groupBy("component_id").agg(stays.alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # One row stays per component; all others of a component of two or more go.
+    several = least.select(F.col("component_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"), "stays")
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(32)).cast("int"))
+    met = found.join(several, F.col("component_id").eqNullSafe(F.col("of")) & (found["salt"] == several["salt"]))
+    gone = met.where(~F.struct("doc_id", "text_sha256").eqNullSafe(F.col("stays"))).select("doc_id", "text_sha256")
+    return drop_documents(docs, gone, id_col, text_col)
+
+
 def links_of(fps: list[int]) -> pd.DataFrame:
     """All links among a few fingerprints by comparing every pair, for tests."""
     values = np.unique(np.array(fps, dtype=np.uint64))

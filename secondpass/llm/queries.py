@@ -9,6 +9,7 @@ from secondpass.llm.common import documents
 from secondpass.llm.decontamination import contamination
 from secondpass.llm.exact_dedup import exact_dedup
 from secondpass.llm.packing import pack
+from secondpass.llm.quality import quality
 from secondpass.llm.sharding import shard_documents
 from secondpass.llm.simhash import near_duplicates
 from secondpass.llm.token_counts import token_counts
@@ -27,6 +28,11 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+@catalog.add("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @catalog.add("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), VOCABULARY)

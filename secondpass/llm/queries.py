@@ -9,9 +9,11 @@ from secondpass.llm.common import documents
 from secondpass.llm.decontamination import contamination
 from secondpass.llm.exact_dedup import exact_dedup
 from secondpass.llm.packing import pack
+from secondpass.llm.pii import find_personal_data
 from secondpass.llm.quality import quality
 from secondpass.llm.sharding import shard_documents
 from secondpass.llm.simhash import near_duplicates
+from secondpass.llm.suffix_dedup import suffix_dedup
 from secondpass.llm.token_counts import token_counts
 from secondpass.llm.toxicity import toxicity
 
@@ -43,6 +45,11 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+@catalog.add("op4_personal_data")
+def op4_personal_data(spark, sf_dir):
+    return find_personal_data(documents(spark, sf_dir))
+
+
 @catalog.add("op6_decontamination")
 def op6_decontamination(spark, sf_dir):
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -53,6 +60,11 @@ def op7_sharding(spark, sf_dir):
     return shard_documents(documents(spark, sf_dir))
 
 
+@catalog.add("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 @catalog.add("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -6,8 +6,9 @@ words in a row of which two are replaced leave at least one mask intact at some
 (``guaranteed`` tries all cases), so such a passage meets its item in an equality join
 of seeds. Around a hit the text is laid beside the item on the hit's
 diagonal and the words are compared: a text is contaminated where, of ``SPAN``
-words in a row of one item (all its words if it has fewer), at most ``REPLACED``
-differ. Items of fewer words than a mask spans need all their words in a row.
+words in a row of one item, at most ``REPLACED`` differ. Of an item with fewer words, as
+many may differ as the masks are sure to find (``allowed``: none up to seven words, for
+example), so that no verdict depends on a lucky hit.
 
 Seeds of the benchmark are broadcast only when their number, counted before, is at
 most ``BROADCAST_SEEDS``; beyond that the join is left to a shuffle. Hits are reduced to
@@ -20,6 +21,9 @@ table on either side contaminates nothing.
 
 from __future__ import annotations
 
+import functools
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +104,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     laid = hits.join(found, "sha").join(items, "item_no")
     laid = laid.withColumn("equal_at", _matches(F.col("words"), F.col("item"), F.col("diagonal")))
     n = F.size("item")
-    need = F.when(n >= SPAN, SPAN - REPLACED).when(n >= _WIDTH, n - F.floor(n * REPLACED / SPAN)).otherwise(n)
+    need = F.get(F.array(*[F.lit(words - allowed(words)) for words in range(SPAN + 1)]), F.least(n, F.lit(SPAN)))
     return laid.withColumn("equal", _longest(F.col("equal_at"))).where(F.col("equal") >= need).select(
         "sha", "item_id", F.greatest("diagonal", F.lit(0)).alias("pos"), "equal"
     )
@@ -141,7 +145,7 @@ def brute_force(text: str, items: list[str]) -> bool:
     mine = split(text)
     for item in map(split, items):
         n = len(item)
-        need = SPAN - REPLACED if n >= SPAN else n - n * REPLACED // SPAN if n >= _WIDTH else n
+        need = min(n, SPAN) - allowed(min(n, SPAN))
         for diagonal in range(-n + 1, len(mine)) if n else ():
             equal = [0 <= j + diagonal < len(mine) and mine[j + diagonal] == item[j] for j in range(n)]
             if max(sum(equal[j:j + SPAN]) for j in range(max(1, n - SPAN + 1))) >= need:
@@ -149,10 +153,15 @@ def brute_force(text: str, items: list[str]) -> bool:
     return False
 
 
+@functools.cache
+def allowed(words: int) -> int:
+    """How many of ``words`` words in a row may differ: at most the share of ``REPLACED`` in ``SPAN``."""
+    most = words * REPLACED // SPAN
+    return next((r for r in range(most, 0, -1) if guaranteed(r, words)), 0)
+
+
 def guaranteed(replaced: int = REPLACED, span: int = SPAN) -> bool:
     """Whether the masks hit every ``span`` words in a row with ``replaced`` words changed."""
-    from itertools import combinations
-
     def hit(gone):
         return any(
             all(bit == "0" or start + k not in gone for k, bit in enumerate(mask))

@@ -35,6 +35,7 @@ from secondpass.session import pin
 LENGTH, GRAM = 200, 32
 _BLOCK = (1 << 20) - 1024  # strings looked at together; places inside a block take 20 bits
 _ONES = (1 << 20) - 1
+_ROWS = 50_000  # rows written at a time
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -101,7 +102,9 @@ def _records(batches):
 
 def _suffixes(batches):
     """Rows of the suffix order for the records (first, last, single) listed with a text."""
+    names = ["lead", "d1", "d2", "sha", "pos", "single"]
     for batch in batches:
+        parts, held = [], 0
         for sha, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode()
             for r in listed:
@@ -109,10 +112,20 @@ def _suffixes(batches):
                 n = r["last"] - r["first"] + 1
                 lead = np.lib.stride_tricks.sliding_window_view(part, 8)[:n].copy().view(">u8").ravel()
                 lead = (lead ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead), pa.array(fingerprints(part, 1).view(np.int64)), pa.array(fingerprints(part, 2).view(np.int64)),
-                     pa.array([sha] * n, pa.binary()), pa.array(np.arange(r["first"], r["last"] + 1)), pa.array([r["single"]] * n)],
-                    ["lead", "d1", "d2", "sha", "pos", "single"])
+                parts.append((lead, fingerprints(part, 1).view(np.int64), fingerprints(part, 2).view(np.int64),
+                              np.arange(r["first"], r["last"] + 1), np.full(n, r["single"]), [sha] * n))
+                held += n
+                if held >= _ROWS:
+                    yield _joined(parts, names)
+                    parts, held = [], 0
+        if parts:
+            yield _joined(parts, names)
+
+
+def _joined(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    lead, d1, d2, pos, single = (pa.array(np.concatenate([p[k] for p in parts])) for k in range(5))
+    shas = pa.array([s for p in parts for s in p[5]], pa.binary())
+    return pa.RecordBatch.from_arrays([lead, d1, d2, shas, pos, single], names)
 
 
 _ORDER = "lead long, d1 long, d2 long, sha binary, pos long, single boolean"

@@ -131,15 +131,20 @@ def with_running_total(
     if hot is None:
         return df.withColumn(name, F.sum(value).over(window))
     cold_rows = df.join(hot, _same_group(groups, "_h"), "left_anti").withColumn(name, F.sum(value).over(window))
-    totals = _global_running(
-        df.join(hot, _same_group(groups, "_h"), "left_semi"), [*groups, *order], value, "_global"
+    # Sums restart at every group: inside a range by the window, across ranges by the sums of the group's earlier runs.
+    placed = _ranged(df.join(hot, _same_group(groups, "_h"), "left_semi"), [*groups, *order])
+    runs = placed.groupBy("_range", *groups).agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        F.sum("_total").over(earlier).alias("_before"),
     )
-    starts = totals.groupBy(*groups).agg(F.min(F.struct("_global", value)).alias("_first"))
-    renamed = starts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        (F.col("_first._global") - F.col(f"_first.{value}")).alias("_start"),
+    local = Window.partitionBy("_range", *groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_local", F.sum(value).over(local)).join(
+        F.broadcast(runs), (F.col("_range") == F.col("_r")) & _same_group(groups, "_g")
     )
-    hot_totals = totals.join(renamed, _same_group(groups, "_g")).withColumn(name, F.col("_global") - F.col("_start"))
+    # Null only while the group has had no value yet, as a plain window has it.
+    hot_totals = summed.withColumn(name, F.coalesce(F.col("_local") + F.col("_before"), "_local", "_before"))
     return cold_rows.unionByName(hot_totals.select(*df.columns, name))
 
 

@@ -61,3 +61,14 @@ def test_counted_values_equal_repeated_values(spark):
     repeated = df.selectExpr("v", "explode(sequence(1, n))").select("v")
     want = exact_percentiles(repeated, "v", {"p": 0.45}).first()["p"]
     assert exact_percentiles(df, "v", {"p": 0.45}, weight="n").first()["p"] == want
+
+
+def test_running_total_of_hot_groups_equals_the_plain_path(spark):
+    values = [5.0, 0.0, 0.0, 2.0, -3.5, None, 0.0, 1.25]
+    rows = [(g, i, None if g == "n" else v) for g in ("a", "b", None, "n") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(5)
+
+    plain, hot = (
+        {(r.g, r.i): r.running for r in with_running_total(df, ["i"], "v", ["g"], hot_rows=n).collect()} for n in (100, 3)
+    )
+    assert plain == hot and plain["a", 3] == 7.0 and plain["n", 7] is None

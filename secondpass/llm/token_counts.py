@@ -3,8 +3,9 @@
 For a byte-level BPE, offline, every vocabulary string is tried alone: it must be a
 single pre-token, and encode to exactly its own id. For such strings a matching
 pre-token is one token by proof, because merges never cross pre-tokens. Texts are
-cut into pre-tokens; those are looked up and only the rest goes through the merges
-of the tokenizer library, once per distinct pre-token and worker.
+cut at white space, where a pre-token always ends, and every such chunk into its
+pre-tokens; those are looked up and only the rest goes through the merges of the
+library's model. What a chunk came to is remembered per worker.
 
 Defined results: null and empty texts have no tokens; special strings inside texts
 are one token each, as the library does by default; rows with equal ids stay
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 
 import pyarrow as pa
@@ -30,6 +32,10 @@ LONG_TEXT = 1_000_000  # longer texts are walked instead of split at once
 # Pre-token pattern of the byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # Unicode White_Space
+# A run without white space with the one space before it, or white space up to the space that belongs to such a run.
+CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
 
 def _byte_of_char() -> dict[str, int]:
     """The printable stand-ins of a byte-level vocabulary: visible Latin-1 stays, others follow from 256 on."""
@@ -56,14 +62,16 @@ def prove_whole_tokens(path: str) -> dict[str, int]:
 
 
 class _Cells(dict):
-    """Pre-token to value; what was not proved is encoded by the library on first sight."""
+    """Pre-token to value; what was not proved is merged by the library's model on first sight."""
 
-    def __init__(self, tokenizer: Tokenizer, proved: dict[str, int], value):
+    def __init__(self, model, proved: dict[str, int], value):
         super().__init__({s: value([n]) for s, n in proved.items()})
-        self.start, self.proved, self.tokenizer, self.value = len(self), proved, tokenizer, value
+        self.start, self.proved, self.model, self.value = len(self), proved, model, value
+        self.stand_ins = str.maketrans({chr(b): c for c, b in _byte_of_char().items()})
 
     def __missing__(self, pre: str):
-        found = self.value(self.tokenizer.encode(pre, add_special_tokens=False).ids)
+        stood_in = pre.encode().decode("latin-1").translate(self.stand_ins)
+        found = self.value([token.id for token in self.model.tokenize(stood_in)])
         if len(pre) <= 64:
             self[pre] = found
         return found
@@ -74,6 +82,31 @@ class _Cells(dict):
             self.update({s: self.value([n]) for s, n in self.proved.items()})
 
 
+class _Chunks(dict):
+    """Chunk of a text to value, put together from its pre-tokens on first sight."""
+
+    def __init__(self, cells: _Cells, pattern, join):
+        super().__init__()
+        self.cells, self.pattern, self.join = cells, pattern, join
+
+    def __missing__(self, chunk: str):
+        if len(chunk) > LONG_TEXT:
+            return self.join(self.cells[m.group()] for m in self.pattern.finditer(chunk))
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isascii() and word.isalpha():  # one pre-token
+            found = self.cells[chunk]
+        else:
+            found = self.join(map(self.cells.__getitem__, self.pattern.findall(chunk)))
+        if len(chunk) <= 64:
+            self[chunk] = found
+        return found
+
+    def trim(self) -> None:
+        self.cells.trim()
+        if len(self) > CACHE_STRINGS:
+            self.clear()
+
+
 def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -83,36 +116,39 @@ class TextEncoder:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            added = json.load(file)["added_tokens"]
+            described = json.load(file)
+        added = described["added_tokens"]
+        if described["normalizer"] or described["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError("normalizers and added spaces are not supported")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
             raise ValueError("special tokens with side conditions are not supported")
         self.special = {t["content"]: t["id"] for t in added}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         tokenizer, proved = Tokenizer.from_file(path), prove_whole_tokens(path)
-        self.pattern = regex.compile(PATTERN)
-        self.counts = _Cells(tokenizer, proved, len)
-        self.ids = _Cells(tokenizer, proved, _pack)
+        pattern = regex.compile(PATTERN)
+        self.counts = _Chunks(_Cells(tokenizer.model, proved, len), pattern, sum)
+        self.ids = _Chunks(_Cells(tokenizer.model, proved, _pack), pattern, b"".join)
 
     def _parts(self, text: str):
         if self.split is None or not any(s in text for s in self.special):
             return [text]
         return self.split.split(text)
 
-    def _pre_tokens(self, part: str):
+    def _chunks(self, part: str):
         if len(part) < LONG_TEXT:
-            return self.pattern.findall(part)
-        return (m.group() for m in self.pattern.finditer(part))
+            return CHUNK.findall(part)
+        return (m.group() for m in CHUNK.finditer(part))
 
     def count(self, text: str) -> int:
         return sum(
-            1 if part in self.special else sum(map(self.counts.__getitem__, self._pre_tokens(part)))
+            1 if part in self.special else sum(map(self.counts.__getitem__, self._chunks(part)))
             for part in self._parts(text)
         )
 
     def pack(self, text: str) -> bytes:
         return b"".join(
             _pack([self.special[part]]) if part in self.special
-            else b"".join(map(self.ids.__getitem__, self._pre_tokens(part)))
+            else b"".join(map(self.ids.__getitem__, self._chunks(part)))
             for part in self._parts(text)
         )
 

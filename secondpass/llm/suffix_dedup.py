@@ -5,11 +5,14 @@ before they are sorted. Inside any such string the ``GRAM``-byte gram of smalles
 its anchor; equal strings have equal anchors at equal places. Neighbouring strings with
 one anchor form a record. A record whose anchor is nowhere else is unique. Records that are
 equal as a whole are one class; they are repeated, and are sorted once however many
-there are. Only the suffixes of classes that share an anchor with another class are
-written as rows: sampled splitters range-partition them by their leading eight bytes
-(then by a 128-bit fingerprint of all ``LENGTH`` bytes), every bucket is sorted, equal
-neighbours are repeated, and the first and last row of every bucket are compared across
-the boundaries, so a string may fill many buckets.
+there are. Classes that share an anchor with another class are cut again, into pieces of
+at most ``STEP`` strings by their distance to the anchor. Equal pieces are one class as
+before. The strings of a piece all hold its core, so a piece whose core is nowhere else
+is unique. Only the suffixes of pieces that share a core with another class are written
+as rows: sampled splitters range-partition them by their leading eight bytes (then by a
+128-bit fingerprint of all ``LENGTH`` bytes), every bucket is sorted, equal neighbours
+are repeated, and the first and last row of every bucket are compared across the
+boundaries, so a string may fill many buckets.
 
 The sort inside a bucket is Spark's, which spills, in place of a multikey quicksort;
 beyond its leading bytes a suffix is compared by fingerprint, not by its text.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from secondpass.llm.common import id_and_text
 from secondpass.session import pin
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, STEP = 200, 32, 16
 _BLOCK = (1 << 20) - 1024  # strings looked at together; places inside a block take 20 bits
 _ONES = (1 << 20) - 1
 _ROWS = 50_000  # rows written at a time
@@ -100,8 +103,42 @@ def _records(batches):
             [pa.array(c, k) for c, k in zip(columns, kinds)], ["sha", "anchor", "first", "last", "digest"])
 
 
+def pieces(part: bytes) -> list[tuple[int, int, int, bytes]]:
+    """(core, first string, last string, digest) of all pieces of one record, given its bytes."""
+    strings = len(part) - LENGTH + 1
+    h = grams(np.frombuffer(part, np.uint8), GRAM)[GRAM][:LENGTH - GRAM + 1]
+    anchor = int(((h & ~np.uint64(_ONES)) | np.arange(len(h), dtype=np.uint64)).argmin())
+    out, first = [], 0
+    while first < strings:
+        block = (anchor - first) // STEP  # distances from block * STEP on, the nearest string last
+        last = min(strings - 1, anchor - block * STEP)
+        low = anchor - block * STEP
+        salt = bytes([block])
+        core = hashlib.blake2b(part[low:low + LENGTH - STEP + 1], digest_size=8, salt=salt).digest()
+        digest = hashlib.blake2b(part[first:last + LENGTH], digest_size=16, salt=salt + bytes([anchor - first]))
+        out.append((int.from_bytes(core, "little", signed=True), first, last, digest.digest()))
+        first = last + 1
+    return out
+
+
+def _pieces(batches):
+    """Pieces of the records (first, last, single) listed with a text."""
+    names = ["sha", "core", "first", "last", "digest", "single"]
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    for batch in batches:
+        columns = [[] for _ in names]
+        for sha, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            raw = text.as_py().encode()
+            for r in listed:
+                at = r["first"]
+                for core, first, last, digest in pieces(raw[at:r["last"] + LENGTH]):
+                    for column, value in zip(columns, (sha, core, at + first, at + last, digest, r["single"])):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
 def _suffixes(batches):
-    """Rows of the suffix order for the records (first, last, single) listed with a text."""
+    """Rows of the suffix order for the pieces (first, last, single) listed with a text."""
     names = ["lead", "d1", "d2", "sha", "pos", "single"]
     for batch in batches:
         parts, held = [], 0
@@ -198,47 +235,73 @@ def _cut(batches):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = id_and_text(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    rows = rows.withColumn("size", F.octet_length("text").cast("long"))
     groups = pin(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "texts")
-    copied = groups.where("n > 1").select("sha", "least")
     total = groups.agg(F.sum("n")).first()[0] or 0
     # Texts with a thousandth of all rows: at most a thousand, so they may be broadcast.
-    hot = F.broadcast(pin(groups.where(F.col("n") * 1000 >= max(total, 2000)).select("sha"), "hot-texts"))
-    cold = rows.join(hot, "sha", "left_anti").join(groups.select("sha", "n"), "sha")
-    others = rows.join(hot, "sha", "left_semi").join(F.broadcast(
-        groups.join(hot, "sha", "left_semi").select("sha", "n", "least")), "sha")
-    one = others.where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["sha"]).select("sha", "text")
-    one = one.unionByName(cold.where("n = 1").select("sha", "text"))
-    several = cold.where("n > 1").join(copied.withColumnRenamed("sha", "of"), (F.col("sha") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    one = one.unionByName(several.dropDuplicates(["sha"]).select("sha", "text")).where(F.octet_length("text") >= LENGTH)
-
-    found = pin(one.mapInArrow(_records, "sha binary, anchor long, first long, last long, digest binary"), "records")
+    hot = F.broadcast(pin(groups.where(F.col("n") * 1000 >= max(total, 2000)), "hot-texts"))
+    cold = rows.join(hot.select("sha"), "sha", "left_anti").join(groups, "sha")
+    others = rows.join(hot, "sha")
+    least = (F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("least"))
+    names = ["sha", "doc_id", "n", "text"]
+    # Copies may be equal in their ids too, so one is chosen by its text.
+    single = cold.where("n = 1").select(*names)
+    several = cold.where("n > 1").unionByName(others).where(least).select(*names).dropDuplicates(["sha"])
+    one = pin(single.unionByName(several), "distinct-texts")
+    long = one.where(F.octet_length("text") >= LENGTH).select("sha", "text")
+
+    found = pin(long.mapInArrow(_records, "sha binary, anchor long, first long, last long, digest binary"), "records")
     classes = found.groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("sha", "first", "last")).alias("at"))
     classes = pin(classes, "record-classes")
-    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    many = classes.join(shared, "anchor", "left_semi").select("at.*", (F.col("n") == 1).alias("single"))
-    listed = many.groupBy("sha").agg(F.collect_list(F.struct("first", "last", "single")).alias("listed"))
-    order = one.join(listed, "sha").select("sha", "text", "listed").mapInArrow(_suffixes, _ORDER)
+    cut_again = _of_shared(classes, "anchor").select("at.*", (F.col("n") == 1).alias("single"))
+    parts = pin(_listed(long, cut_again).mapInArrow(
+        _pieces, "sha binary, core long, first long, last long, digest binary, single boolean"), "pieces")
+    alike = parts.groupBy("core", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("sha", "first", "last", "single")).alias("at"))
+    alike = pin(alike, "piece-classes")
+    sorted_again = _of_shared(alike, "core").select(
+        "at.sha", "at.first", "at.last", ((F.col("n") == 1) & F.col("at.single")).alias("single"))
+    order = pin(_listed(long, sorted_again).mapInArrow(_suffixes, _ORDER), "suffixes")
     strings = repeated(order).select("sha", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
 
-    twice = classes.where("n > 1").select("digest", "anchor", F.col("n").alias("times"))
-    common = F.broadcast(pin(twice.where(F.col("times") * 1000 >= max(total, 2000)).select("digest"), "hot-records"))
-    whole = found.join(common, "digest", "left_semi").unionByName(
-        found.join(common, "digest", "left_anti").join(twice.select("digest", "anchor"), ["digest", "anchor"], "left_semi").select(*found.columns))
-    stretches = whole.select("sha", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")).unionByName(strings)
+    # Records with copies are known to be repeated as a whole, so only the others are looked up here.
+    met = _members(parts.where("single"), alike.where("n > 1"), "core", total)
+    whole = _members(found, classes.where("n > 1"), "anchor", total)
+    stretches = strings
+    for known in (whole, met):
+        stretches = stretches.unionByName(known.select("sha", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
     per_text = stretches.groupBy("sha").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
 
-    lone = cold.where("n = 1").join(per_text, "sha", "left").select("doc_id", "text", "stretches").mapInArrow(
+    lone = one.where("n = 1").join(per_text, "sha", "left").select("doc_id", "text", "stretches").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    size = F.octet_length("text").cast("long")
-    gone = size >= LENGTH
-    copies = cold.where("n > 1").select("doc_id", "text", "sha").unionByName(others.select("doc_id", "text", "sha")).select(
-        "doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+    gone = F.col("size") >= LENGTH
+    copies = cold.where("n > 1").unionByName(others).select(
+        "doc_id", F.col("size").alias("n_bytes"), F.when(gone, F.col("size")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
         F.when(gone, F.lit(_EMPTY)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"))
     return lone.unionByName(copies)
 
 
+def _of_shared(classes: DataFrame, key: str) -> DataFrame:
+    """Classes whose ``key`` another class has too."""
+    shared = classes.groupBy(key).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return classes.join(shared, key, "left_semi")
+
+
+def _listed(texts: DataFrame, stretches: DataFrame) -> DataFrame:
+    """sha, text and the list of its stretches (first, last, single); a list is bounded by its text."""
+    listed = stretches.groupBy("sha").agg(F.collect_list(F.struct("first", "last", "single")).alias("listed"))
+    return texts.join(listed, "sha").select("sha", "text", "listed")
+
+
+def _members(rows: DataFrame, twice: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows of the classes in ``twice``; those with a thousandth as many rows as there are texts are broadcast."""
+    common = F.broadcast(pin(twice.where(F.col("n") * 1000 >= max(total, 2000)).select("digest"), "hot-classes"))
+    rest = rows.join(common, "digest", "left_anti").join(twice.select("digest", key), ["digest", key], "left_semi")
+    return rows.join(common, "digest", "left_semi").unionByName(rest.select(*rows.columns))
+
+
 def brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept_sha256) by counting every string; for tests."""
     from collections import Counter

@@ -94,13 +94,13 @@ def records(raw: bytes) -> list[tuple[int, int, int, bytes]]:
 def _records(batches):
     for batch in batches:
         columns = ([], [], [], [], [])
-        for sha, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for row in records(text.as_py().encode()):
-                for column, value in zip(columns, (sha, *row)):
+                for column, value in zip(columns, (number, *row)):
                     column.append(value)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["sha", "anchor", "first", "last", "digest"])
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "anchor", "first", "last", "digest"])
 
 
 def pieces(part: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -123,26 +123,26 @@ def pieces(part: bytes) -> list[tuple[int, int, int, bytes]]:
 
 def _pieces(batches):
     """Pieces of the records (first, last, single) listed with a text."""
-    names = ["sha", "core", "first", "last", "digest", "single"]
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    names = ["row", "core", "first", "last", "digest", "single"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
     for batch in batches:
         columns = [[] for _ in names]
-        for sha, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode()
             for r in listed:
                 at = r["first"]
                 for core, first, last, digest in pieces(raw[at:r["last"] + LENGTH]):
-                    for column, value in zip(columns, (sha, core, at + first, at + last, digest, r["single"])):
+                    for column, value in zip(columns, (number, core, at + first, at + last, digest, r["single"])):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _suffixes(batches):
     """Rows of the suffix order for the pieces (first, last, single) listed with a text."""
-    names = ["lead", "d1", "d2", "sha", "pos", "single"]
+    names = ["lead", "d1", "d2", "row", "pos", "single"]
     for batch in batches:
         parts, held = [], 0
-        for sha, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode()
             for r in listed:
                 part = np.frombuffer(raw, np.uint8, r["last"] - r["first"] + LENGTH, r["first"])
@@ -150,7 +150,7 @@ def _suffixes(batches):
                 lead = np.lib.stride_tricks.sliding_window_view(part, 8)[:n].copy().view(">u8").ravel()
                 lead = (lead ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
                 parts.append((lead, fingerprints(part, 1).view(np.int64), fingerprints(part, 2).view(np.int64),
-                              np.arange(r["first"], r["last"] + 1), np.full(n, r["single"]), [sha] * n))
+                              np.full(n, number), np.arange(r["first"], r["last"] + 1), np.full(n, r["single"])))
                 held += n
                 if held >= _ROWS:
                     yield _joined(parts, names)
@@ -160,12 +160,10 @@ def _suffixes(batches):
 
 
 def _joined(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    lead, d1, d2, pos, single = (pa.array(np.concatenate([p[k] for p in parts])) for k in range(5))
-    shas = pa.array([s for p in parts for s in p[5]], pa.binary())
-    return pa.RecordBatch.from_arrays([lead, d1, d2, shas, pos, single], names)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*parts)], names)
 
 
-_ORDER = "lead long, d1 long, d2 long, sha binary, pos long, single boolean"
+_ORDER = "lead long, d1 long, d2 long, row long, pos long, single boolean"
 
 
 def _neighbours(batches):
@@ -197,16 +195,16 @@ def _neighbours(batches):
 
 
 def repeated(order: DataFrame) -> DataFrame:
-    """(sha, pos) of the suffixes of single classes whose string is also elsewhere in the order."""
+    """(row, pos) of the suffixes of single classes whose string is also elsewhere in the order."""
     buckets = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["lead", "d1", "d2", "sha", "pos"]
+    keys = ["lead", "d1", "d2", "row", "pos"]
     placed = order.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
     seen = pin(placed.mapInArrow(_neighbours, f"{_ORDER}, edge boolean, bucket int"), "neighbours")
     # Two rows per bucket: small, whatever the input.
     edges = seen.where("edge")
     across = edges.groupBy("lead", "d1", "d2").agg(F.count_distinct("bucket").alias("n")).where("n > 1").drop("n")
     met = edges.join(across, ["lead", "d1", "d2"], "left_semi")
-    return seen.where("NOT edge").unionByName(met).where("single").select("sha", "pos").distinct()
+    return seen.where("NOT edge").unionByName(met).where("single").select("row", "pos").distinct()
 
 
 def _cut(batches):
@@ -247,33 +245,34 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Copies may be equal in their ids too, so one is chosen by its text.
     single = cold.where("n = 1").select(*names)
     several = cold.where("n > 1").unionByName(others).where(least).select(*names).dropDuplicates(["sha"])
-    one = pin(single.unionByName(several), "distinct-texts")
-    long = one.where(F.octet_length("text") >= LENGTH).select("sha", "text")
+    one = single.unionByName(several).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "text")
+    one = pin(one, "distinct-texts")
+    long = one.where(F.octet_length("text") >= LENGTH).select("row", "text")
 
-    found = pin(long.mapInArrow(_records, "sha binary, anchor long, first long, last long, digest binary"), "records")
+    found = pin(long.mapInArrow(_records, "row long, anchor long, first long, last long, digest binary"), "records")
     classes = found.groupBy("anchor", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("sha", "first", "last")).alias("at"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("at"))
     classes = pin(classes, "record-classes")
     cut_again = _of_shared(classes, "anchor").select("at.*", (F.col("n") == 1).alias("single"))
     parts = pin(_listed(long, cut_again).mapInArrow(
-        _pieces, "sha binary, core long, first long, last long, digest binary, single boolean"), "pieces")
+        _pieces, "row long, core long, first long, last long, digest binary, single boolean"), "pieces")
     alike = parts.groupBy("core", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("sha", "first", "last", "single")).alias("at"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last", "single")).alias("at"))
     alike = pin(alike, "piece-classes")
     sorted_again = _of_shared(alike, "core").select(
-        "at.sha", "at.first", "at.last", ((F.col("n") == 1) & F.col("at.single")).alias("single"))
+        "at.row", "at.first", "at.last", ((F.col("n") == 1) & F.col("at.single")).alias("single"))
     order = pin(_listed(long, sorted_again).mapInArrow(_suffixes, _ORDER), "suffixes")
-    strings = repeated(order).select("sha", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
+    strings = repeated(order).select("row", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
 
     # Records with copies are known to be repeated as a whole, so only the others are looked up here.
     met = _members(parts.where("single"), alike.where("n > 1"), "core", total)
     whole = _members(found, classes.where("n > 1"), "anchor", total)
     stretches = strings
     for known in (whole, met):
-        stretches = stretches.unionByName(known.select("sha", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
-    per_text = stretches.groupBy("sha").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
+        stretches = stretches.unionByName(known.select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
+    per_text = stretches.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
 
-    lone = one.where("n = 1").join(per_text, "sha", "left").select("doc_id", "text", "stretches").mapInArrow(
+    lone = one.where("n = 1").join(per_text, "row", "left").select("doc_id", "text", "stretches").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     gone = F.col("size") >= LENGTH
     copies = cold.where("n > 1").unionByName(others).select(
@@ -290,9 +289,9 @@ def _of_shared(classes: DataFrame, key: str) -> DataFrame:
 
 
 def _listed(texts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """sha, text and the list of its stretches (first, last, single); a list is bounded by its text."""
-    listed = stretches.groupBy("sha").agg(F.collect_list(F.struct("first", "last", "single")).alias("listed"))
-    return texts.join(listed, "sha").select("sha", "text", "listed")
+    """row, text and the list of its stretches (first, last, single); a list is bounded by its text."""
+    listed = stretches.groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("listed"))
+    return texts.join(listed, "row").select("row", "text", "listed")
 
 
 def _members(rows: DataFrame, twice: DataFrame, key: str, total: int) -> DataFrame:

@@ -156,7 +156,11 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links, of every row."""
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links, of every row.
+
+    Null and repeated ids give unrelated components the same component_id. ``with_sha`` adds what
+    identifies rows and components: text_sha256 and ``root``, the smallest fingerprint of the component.
+    """
     rows = pin(fingerprints(docs, id_col, text_col, with_sha), "fingerprints")
     distinct = pin(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     root = components(links(distinct))
@@ -165,10 +169,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # Most fingerprints are alone; only the others have a component to look up.
-    member = pin(named.join(least, "root").select("fp", "component_id"), "members")
+    member = pin(named.join(least, "root").select("fp", "component_id", *(["root"] if with_sha else [])), "members")
     hot = _hot(rows, member)
     printed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return hot.select("doc_id", printed, "component_id", *(["text_sha256"] if with_sha else []))
+    return hot.select("doc_id", printed, "component_id", *(["text_sha256", "root"] if with_sha else []))
 
 
 def _hot(rows: DataFrame, member: DataFrame) -> DataFrame:
@@ -182,15 +186,18 @@ def _hot(rows: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of every component: the smallest id, of equal ids the smallest digest."""
+    """``docs`` with one document of every component: the smallest id (null last), of equal ids the smallest digest.
+
+    A document is an id with its text: rows equal in both stay or go together.
+    """
     found = pin(near_duplicates(docs, id_col, text_col, with_sha=True), "near-duplicates")
-    stays = F.min(F.struct("doc_id", "text_sha256"))
-    least = found.groupBy("component_id").agg(stays.alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # One row stays per component; all others of a component of two or more go.
-    several = least.select(F.col("component_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"), "stays")
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    least = found.groupBy("root").agg(F.min(document).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # One document stays per component; all others of a component of two or more rows go.
+    several = least.select(F.col("root").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"), "stays")
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(32)).cast("int"))
-    met = found.join(several, F.col("component_id").eqNullSafe(F.col("of")) & (found["salt"] == several["salt"]))
-    gone = met.where(~F.struct("doc_id", "text_sha256").eqNullSafe(F.col("stays"))).select("doc_id", "text_sha256")
+    met = found.join(several, (F.col("root") == F.col("of")) & (found["salt"] == several["salt"]))
+    gone = met.where(~document.eqNullSafe(F.col("stays"))).select("doc_id", "text_sha256")
     return drop_documents(docs, gone, id_col, text_col)
 
 

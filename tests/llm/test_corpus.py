@@ -163,6 +163,16 @@ def test_simhash_links_and_components(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(least)) and left.columns == docs.columns
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Unrelated texts stay, whatever their ids; of a component one document stays."""
+    copied = prose(25, 60)
+    texts = [prose(20 + i, 60) for i in range(5)] + [copied, copied.upper(), copied]
+    ids = [None, None, None, 7, 7, None, 7, 9]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(left, key=str) == sorted([*zip(ids[:5], texts[:5]), (7, copied.upper())], key=str)
+
+
 def test_exact_dedup_counts_packing_sharding(spark):
     texts = ["a", "b", "a", None, "", "c<|endoftext|>d", prose(1, 900)]
     docs = table(spark, texts)

@@ -8,9 +8,10 @@ digest, the locator of the winning document and the number of copies, so a look-
 is decided by comparing all 32 bytes. Incoming documents are counted per digest
 first, so a group of copies of any size is one row when it reaches its bucket.
 
-Defined results: null texts count as empty; a null id is the smallest id; rows
-equal in id and text are one document and are returned once; an empty table gives
-an empty result.
+Defined results: null texts count as empty; a null id is the smallest id; every row
+is returned and counted, also rows equal in id and text. These carry the same key, so
+``kept`` is true for all of them where their id wins; ``drop_duplicates`` leaves the one
+whose columns come first in order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,49 +88,46 @@ def _unpack(levels) -> list[np.ndarray]:
     ]
 
 
-def _optional(values) -> list[int | None]:
-    return [None if v is None or v != v else int(v) for v in values]
-
-
-def _build_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    digests = [bytes(d) for d in rows["digest"]]
+def _build_bucket(rows: pa.Table) -> pa.Table:
+    # Arrow keeps ids exact: in pandas a null among them would make them floats.
+    digests = rows["digest"].to_pylist()
     words = _words(digests)
     levels = build_levels(words)
     order = np.argsort(slots(words, levels))
-    winners, copies = _optional(rows["winner"]), list(rows["copies"])
-    return pd.DataFrame({
-        "bucket": [int(rows["bucket"].iloc[0])],
-        "levels": [_pack(levels)],
-        "digests": [b"".join(digests[i] for i in order)],
-        "winners": [[winners[i] for i in order]],
-        "copies": [[int(copies[i]) for i in order]],
+    winners, copies = rows["winner"].to_pylist(), rows["copies"].to_pylist()
+    return pa.table({
+        "bucket": pa.array([rows["bucket"][0].as_py()], pa.int64()),
+        "levels": pa.array([_pack(levels)], pa.list_(pa.binary())),
+        "digests": pa.array([b"".join(digests[i] for i in order)], pa.binary()),
+        "winners": pa.array([[winners[i] for i in order]], pa.list_(pa.int64())),
+        "copies": pa.array([[copies[i] for i in order]], pa.list_(pa.int64())),
     })
 
 
-def _look_up(index: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
+def _look_up(index: pa.Table, incoming: pa.Table) -> pa.Table:
     """All classes of a bucket: slots (updated by byte-checked hits) and, apart from them, nonmembers."""
     digests, winners, copies = [], [], []
-    if len(index):
-        row = index.iloc[0]
-        raw = bytes(row["digests"])
+    if index.num_rows:
+        raw = index["digests"][0].as_py()
         digests = [raw[i:i + 32] for i in range(0, len(raw), 32)]
-        winners, copies = _optional(row["winners"]), [int(c) for c in row["copies"]]
+        winners, copies = index["winners"][0].as_py(), index["copies"][0].as_py()
     known = len(digests)
-    if len(incoming):
-        keys = [bytes(d) for d in incoming["digest"]]
-        at = slots(_words(keys), _unpack(index.iloc[0]["levels"])) if known else np.full(len(keys), -1)
-        for key, slot, winner, n in zip(keys, at, _optional(incoming["winner"]), incoming["copies"]):
+    if incoming.num_rows:
+        keys = incoming["digest"].to_pylist()
+        at = slots(_words(keys), _unpack(index["levels"][0].as_py())) if known else np.full(len(keys), -1)
+        for key, slot, winner, n in zip(keys, at, incoming["winner"].to_pylist(), incoming["copies"].to_pylist()):
             if 0 <= slot < known and digests[slot] == key:
                 old = winners[slot]
                 winners[slot] = winner if old is None else old if winner is None else max(old, winner)
-                copies[slot] += int(n)
+                copies[slot] += n
             else:
                 digests.append(key)
                 winners.append(winner)
-                copies.append(int(n))
-    return pd.DataFrame({
-        "digest": digests, "keep_id": pd.array(winners, dtype="Int64"), "group_size": copies,
-        "known": [True] * known + [False] * (len(digests) - known),
+                copies.append(n)
+    return pa.table({
+        "digest": pa.array(digests, pa.binary()), "keep_id": pa.array(winners, pa.int64()),
+        "group_size": pa.array(copies, pa.int64()),
+        "known": pa.array([True] * known + [False] * (len(digests) - known), pa.bool_()),
     })
 
 
@@ -141,28 +139,29 @@ def _per_digest(fingerprints: DataFrame, buckets: int) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct (``doc_id``, ``digest``) pairs of the documents."""
-    return id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
+    """``doc_id`` and ``digest`` of every row."""
+    return id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
 
 
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket for fingerprints of the history; write it to keep it for later batches."""
-    return _per_digest(history, buckets).groupBy("bucket").applyInPandas(_build_bucket, _INDEX)
+    return _per_digest(history, buckets).groupBy("bucket").applyInArrow(_build_bucket, _INDEX)
 
 
 def classes(index: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
     """Digest, winning id, size and whether the index knew it, for history and incoming together."""
     grouped = _per_digest(incoming, buckets)
-    return index.groupBy("bucket").cogroup(grouped.groupBy("bucket")).applyInPandas(_look_up, _CLASSES)
+    return index.groupBy("bucket").cogroup(grouped.groupBy("bucket")).applyInArrow(_look_up, _CLASSES)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history=None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every document.
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     ``history`` is a condition on ``doc_id``: documents that were there before. By
     default half of the ids, chosen by hash, make the history and the rest arrives.
     """
-    history = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False)) if history is None else history
+    history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if history is None else history
+    history = F.coalesce(history, F.lit(False))  # rows where it is null arrive
     prints = pin(fingerprint(docs, id_col, text_col), "fingerprints")
     total = prints.count()
     buckets = max(1, math.ceil(total / BUCKET_KEYS))
@@ -181,13 +180,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every text: that of the largest id."""
+    """``docs`` with one row of every text: that of the largest id, of equal ids the first in the order of its columns."""
     found = exact_dedup(docs, id_col, text_col)
     left = drop_documents(docs, found.where("NOT kept").select("doc_id", "text_sha256"), id_col, text_col)
     prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     if prints.groupBy("doc_id", "h").count().where("count > 1").take(1):
         # Rows equal in id and text cannot be told apart by a key: one of each stays.
-        left = left.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates(["_text"]).drop("_text")
+        ordered = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # those cannot be compared
+        first = F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_row")
+        left = left.groupBy(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).agg(first).select("_row.*")
     return left
 
 

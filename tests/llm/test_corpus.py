@@ -163,6 +163,21 @@ def test_simhash_links_and_components(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(least)) and left.columns == docs.columns
 
 
+def test_exact_dedup_returns_every_row(spark):
+    """Rows equal in id and text are rows and count; large ids stay exact beside digests with null ids only."""
+    big = 2**60 + 1
+    rows = [(1, "a", "y"), (1, "a", "x"), (big, "a", "z"), (None, "b", "q"), (None, "b", "p"), (big + 2, "c", "r"), (3, None, "s"),
+            (3, "", "t"), (None, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    size = {"a": 3, "b": 2, "c": 1, "": 3}
+    keep = {"a": big, "b": None, "c": big + 2, "": 3}
+    for history in (None, F.lit(True), F.lit(False), F.col("doc_id") > 2):
+        got = [tuple(r) for r in exact_dedup(docs, history=history).drop("text_sha256").collect()]
+        want = [(i, keep[t or ""], size[t or ""], i == keep[t or ""]) for i, t, _ in rows]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(r.more for r in drop_duplicates(docs).collect()) == ["p", "r", "s", "z"]
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     """Unrelated texts stay, whatever their ids; of a component one document stays."""
     copied = prose(25, 60)

@@ -1,7 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is its lower-case words. A word enters as two inputs: a row of a hashed word
-table and the mean of the hashed rows of its character trigrams. All windows of
+A text is its lower-case words. Runs of more than ``WHOLE`` bytes (joined words, scripts
+without spaces) are parted at underscores, and parts that are still longer are cut into
+pieces of ``PIECE`` characters, one from every character on, so a term gives the same
+pieces wherever it stands; parts and pieces are words like others. A word enters as two inputs: a row of a hashed word table and the
+mean of the hashed rows of all its character trigrams. All windows of
 ``WINDOW`` words, each overlapping half of the next, pass through the network; the
 score of a text is that of its worst window. The label belongs to the text, so the
 network learns from the windows that it rates worst, chosen anew every round.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from secondpass.llm.common import held_out, id_and_text
 
 WINDOW, STRIDE = 32, 16
+WHOLE, PIECE = 64, 4
 TRAIN_ROWS = 2500
 TRAIN_CHARS = 40_000
 _WORD_ROWS, _CHAR_ROWS, _WIDTH, _HIDDEN, _ATTEND = 1 << 15, 1 << 12, 8, 8, 8
@@ -40,11 +44,30 @@ def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words; long runs in parts and overlapping pieces."""
+    words = _WORDS.findall((text or "").lower())
+    # No character has more than four bytes.
+    if max(map(len, words), default=0) * 4 <= WHOLE:
+        return words
+    out: list[str] = []
+    for word in words:
+        if len(word.encode()) <= WHOLE:
+            out.append(word)
+            continue
+        for part in filter(None, word.split("_")):
+            if len(part.encode()) <= WHOLE:
+                out.append(part)
+            else:
+                out += [part[i:i + PIECE] for i in range(len(part) - PIECE + 1)]
+    return out
+
+
 def inputs_of(word: str) -> tuple[int, np.ndarray]:
     """Row of the word and rows of its character trigrams."""
     framed = f"^{word}$".encode()
     grams = [zlib.crc32(framed[i:i + 3]) % _CHAR_ROWS for i in range(max(1, len(framed) - 2))]
-    return zlib.crc32(word.encode()) % _WORD_ROWS, np.array(grams[:64])
+    return zlib.crc32(word.encode()) % _WORD_ROWS, np.array(grams)
 
 
 def windows(n: int) -> np.ndarray:
@@ -182,7 +205,7 @@ class Words:
 
 def number_words(texts: list[str | None]) -> tuple[Words, list[np.ndarray]]:
     seen: dict[str, int] = {"": 0}
-    docs = [np.array([seen.setdefault(w, len(seen)) for w in _WORDS.findall((t or "").lower())], np.int64) for t in texts]
+    docs = [np.array([seen.setdefault(w, len(seen)) for w in words_of(t)], np.int64) for t in texts]
     rows, grams = zip(*map(inputs_of, seen))
     return Words(np.array(rows), list(grams)), docs
 
@@ -268,7 +291,7 @@ class Scorer:
         if len(self.seen) > _CACHE:
             self._clear()
         seen = self.seen
-        docs = [np.array([seen.setdefault(w, len(seen)) for w in _WORDS.findall((t or "").lower())], np.int64) for t in texts]
+        docs = [np.array([seen.setdefault(w, len(seen)) for w in words_of(t)], np.int64) for t in texts]
         self._extend()
         grids = [cut(ids) for ids in docs]
         starts = np.cumsum([0] + [len(g) for g in grids[:-1]])

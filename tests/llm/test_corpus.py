@@ -125,6 +125,31 @@ def test_classifiers_on_held_out_rows(spark, column, operator):
     assert run(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    """Scripts without spaces and joined words: what stands behind 100 letters counts, in training and in scoring."""
+    rng = np.random.default_rng(1)
+    han = ["".join(chr(0x4E00 + rng.integers(300)) for _ in range(2)) for _ in range(60)]
+    latin = ["".join(chr(97 + rng.integers(26)) for _ in range(rng.integers(2, 7))) for _ in range(60)]
+
+    def texts(seed, n, glue, term, words):
+        """Every second text holds the term, in its second half (behind 100 letters at least)."""
+        drawn = np.random.default_rng(seed)
+        for i in range(n):
+            text = [words[k] for k in drawn.integers(len(words), size=100)]
+            text[int(drawn.integers(60, 100))] = term if i % 2 else words[0]
+            yield glue.join(text)
+
+    for words, term, glue, joined in ((han, "".join(chr(0x5300 + i) for i in range(4)), "", ""), (latin, "vileword", " ", "_")):
+        scorer = toxicity.Scorer(toxicity.train(list(texts(2, 400, glue, term, words)), [0, 1] * 200))
+        found = scorer.scores(list(texts(3, 60, joined, term, words))) >= 0.5
+        assert np.mean(found == np.array([False, True] * 30)) >= 0.9
+    for text in ("é" * 32, "a" * 64, "ab_cd", "a b_" + "c" * 60, None):
+        assert toxicity.words_of(text) == re.findall(r"\w+", text or "")
+    for n in (22, 23, 100, 1001):
+        text = "".join(chr(0x4E00 + i) for i in range(n))
+        assert toxicity.words_of(text) == [text[i:i + toxicity.PIECE] for i in range(n - toxicity.PIECE + 1)]
+
+
 def test_gradient_of_the_network():
     net = toxicity.Network.fresh()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

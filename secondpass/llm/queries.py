@@ -8,6 +8,7 @@ from secondpass.catalog.common import Catalog
 from secondpass.llm.common import documents
 from secondpass.llm.decontamination import contamination
 from secondpass.llm.exact_dedup import exact_dedup
+from secondpass.llm.jaccard_join import jaccard_join
 from secondpass.llm.packing import pack
 from secondpass.llm.pii import find_personal_data
 from secondpass.llm.quality import quality
@@ -73,3 +74,27 @@ def op9_toxicity(spark, sf_dir):
 @catalog.add("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), VOCABULARY)
+
+
+@catalog.add("op11_jaccard_join", r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id
+    ), links AS (
+        SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b
+        WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)
+    ), reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+    )
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN sizes n ON n.doc_id = d.doc_id
+    JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id
+""")
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard_join(documents(spark, sf_dir))

@@ -13,6 +13,14 @@ from secondpass.session import pin
 
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
+# Letters and digits stay, A-Z become small, all other ASCII separates.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters in UTF-8, A-Z lowered."""
+    return (text or "").encode().translate(_FOLD).split()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -50,12 +58,26 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str = "rank
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark can hash and compare."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def drop_documents(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents (``doc_id``, ``text_sha256``) in ``dropped``; a document is an id with its text."""
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    return (
-        docs.withColumn("_sha", key)
-        .join(gone, (F.col("_sha") == F.col("_gone_sha")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
-        .drop("_sha")
-    )
+    sha, gone_id, gone_sha = unused(docs, "sha", "gone_id", "gone_sha")
+    gone = dropped.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    left = rows.join(gone, (F.col(sha) == F.col(gone_sha)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti")
+    return left.select(*docs.columns)

@@ -27,6 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from secondpass.llm.common import hashable, unused
 from secondpass.session import pin
 
 MASKS = ("111011", "110111", "1101011")
@@ -130,11 +131,13 @@ def _with_flags(rows: DataFrame, flags: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is contaminated, all columns kept."""
-    flags = contaminated_texts(docs, benchmark, text_col).select(F.col("sha").alias("_sha")).distinct()
-    flags = flags.select("_sha", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    sha, salt = unused(docs, "sha", "salt")
+    flags = contaminated_texts(docs, benchmark, text_col).select(F.col("sha").alias(sha)).distinct()
+    flags = flags.select(sha, F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias(salt))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    rows = docs.withColumn("_sha", digest).withColumn("_salt", F.pmod(F.xxhash64(*docs.columns), F.lit(_SALTS)).cast("int"))
-    return rows.join(flags, ["_sha", "_salt"], "left_anti").select(*docs.columns)
+    dealt = F.pmod(F.xxhash64(*hashable(docs)), F.lit(_SALTS)).cast("int")
+    rows = docs.withColumns({sha: digest, salt: dealt})
+    return rows.join(flags, [sha, salt], "left_anti").select(*docs.columns)
 
 
 def brute_force(text: str, items: list[str]) -> bool:

@@ -8,10 +8,12 @@ from secondpass.catalog.common import Catalog
 from secondpass.llm.common import documents
 from secondpass.llm.decontamination import contamination
 from secondpass.llm.exact_dedup import exact_dedup
+from secondpass.llm.importance import resample
 from secondpass.llm.jaccard_join import jaccard_join
 from secondpass.llm.packing import pack
 from secondpass.llm.pii import find_personal_data
 from secondpass.llm.quality import quality
+from secondpass.llm.ranked_search import search
 from secondpass.llm.sharding import shard_documents
 from secondpass.llm.simhash import near_duplicates
 from secondpass.llm.suffix_dedup import suffix_dedup
@@ -98,3 +100,34 @@ def op10_token_counts(spark, sf_dir):
 """)
 def op11_jaccard_join(spark, sf_dir):
     return jaccard_join(documents(spark, sf_dir))
+
+
+@catalog.add("op12_importance_resampling")
+def op12_importance_resampling(spark, sf_dir):
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@catalog.add("op13_ranked_search", r"""
+    WITH docs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+    ), items AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ), tf AS (SELECT doc_id, term, count(*) AS tf FROM docs GROUP BY doc_id, term),
+    sizes AS (SELECT doc_id, count(*) AS n FROM docs GROUP BY doc_id),
+    whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+    m AS (SELECT doc_id, 100 - 90 + (90 * n * big_n) // big_l AS m FROM sizes, whole),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, big_n
+    ), scored AS (
+        SELECT i.item_id, t.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m)))::BIGINT AS score
+        FROM items i JOIN tf t USING (term) JOIN weights w USING (term) JOIN m ON m.doc_id = t.doc_id
+        GROUP BY i.item_id, t.doc_id
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+""")
+def op13_ranked_search(spark, sf_dir):
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

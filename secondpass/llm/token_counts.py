@@ -14,13 +14,13 @@ separate; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -153,10 +153,15 @@ class TextEncoder:
         )
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One encoder per worker process and vocabulary file."""
-    return TextEncoder(path)
+    """One encoder per worker process and vocabulary file.
+
+    They are kept on the tokenizer library: this module travels to the workers by value, anew with every task.
+    """
+    kept = tokenizers.__dict__.setdefault("_secondpass_encoders", {})
+    if path not in kept:
+        kept[path] = TextEncoder(path)
+    return kept[path]
 
 
 def token_counts(

@@ -301,33 +301,76 @@ def segment_actions(spark, sf_dir):
 SEGMENTED = f""", segmented AS (SELECT a.*, s.cust_key AS segment FROM ({ELIGIBLE}) a JOIN scores s USING (sample_id))"""
 
 
-@catalog.add("choice_frontier")
+# One record after the other, in the order of ids; per cost the best state stays.
+CHOICES = SEGMENTED + """, numbered AS (SELECT *, dense_rank() OVER (PARTITION BY segment ORDER BY sample_id) AS n FROM segmented),
+steps AS (SELECT 0::BIGINT AS n, segment, 0::BIGINT AS cost, 0::DOUBLE AS benefit, 0::BIGINT AS area, 0::DOUBLE AS footprint, 0::BIGINT AS whole, '' AS ranks
+  FROM (SELECT DISTINCT segment FROM numbered)
+  UNION ALL SELECT o.n, s.segment, s.cost + o.cost, s.benefit + o.benefit, s.area + o.area_num, s.footprint + o.footprint,
+    s.whole + CASE WHEN o.action = 'whole_table' THEN 1 ELSE 0 END, s.ranks || o.action_rank
+  FROM steps s JOIN numbered o ON o.segment = s.segment AND o.n = s.n + 1 WHERE s.cost + o.cost <= 40000
+  QUALIFY row_number() OVER (PARTITION BY s.segment, s.cost + o.cost ORDER BY round(s.benefit + o.benefit, 12) DESC, s.area + o.area_num,
+    s.footprint + o.footprint, s.whole + CASE WHEN o.action = 'whole_table' THEN 1 ELSE 0 END, s.ranks || o.action_rank) = 1),
+ends AS (SELECT s.* FROM steps s JOIN (SELECT segment, max(n) AS n FROM numbered GROUP BY segment) USING (segment, n)),
+frontier AS (SELECT * FROM ends, (SELECT unnest([0, 400, 1000, 2500, 40000])::BIGINT AS budget) WHERE cost <= budget
+  QUALIFY row_number() OVER (PARTITION BY segment, budget ORDER BY round(benefit, 12) DESC, cost) = 1)"""
+
+
+def choices_sql(body: str) -> str:
+    return with_views("scores actions", CHOICES + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@catalog.add("choice_frontier", choices_sql("""
+SELECT segment, budget, cost, round(benefit, 9) AS benefit, footprint, whole,
+  CASE WHEN area % 1000 = 0 THEN (area // 1000)::VARCHAR ELSE (area // gcd(area, 1000)) || '/' || (1000 // gcd(area, 1000)) END AS area FROM frontier"""))
 def choice_frontier(spark, sf_dir):
     return rounded(allocation.choice_frontier(segment_actions(spark, sf_dir), SEGMENT_BUDGETS), 9)
 
 
-@catalog.add("frontier_record", with_views("scores actions", f""", best AS ({BEST}), full_ AS (SELECT b.*, s.cust_key AS segment FROM best b JOIN scores s USING (sample_id) WHERE pick = 1)
-SELECT segment, count(*) AS selected_count, round(avg(con), 9) AS mean_con, round(avg(top), 9) AS mean_top, round(sum(benefit), 9) AS total_benefit,
-  sum(cost)::BIGINT AS used_cost, count(*) FILTER (action_rank BETWEEN 1 AND 3) AS local_action_count FROM full_ GROUP BY segment"""))
+@catalog.add("choice_actions", choices_sql("""
+SELECT f.segment, f.budget, o.sample_id, o.action_rank, o.action, round(o.benefit, 9) AS benefit, o.cost
+FROM frontier f JOIN numbered o ON o.segment = f.segment AND substr(f.ranks, o.n, 1) = o.action_rank::VARCHAR"""))
+def choice_actions(spark, sf_dir):
+    a = segment_actions(spark, sf_dir)
+    _, choices = allocation.search_choices(a, SEGMENT_BUDGETS)
+    return rounded(allocation.chosen_actions(choices, a).select("segment", "budget", "sample_id", "action_rank", "action", "benefit", "cost"))
+
+
+WHOLE_BUDGETS = (0, 5000, 20000, 40000)
+
+
+@catalog.add("choice_frontier_one_segment")
+def choice_frontier_one_segment(spark, sf_dir):
+    """All records compete for one budget."""
+    a = views.actions(spark, sf_dir).withColumn("segment", F.lit("all"))
+    return rounded(allocation.choice_frontier(a, WHOLE_BUDGETS), 6)
+
+
+@catalog.add("frontier_record", choices_sql("""
+SELECT f.segment, f.budget, count(*) AS selected_count, round(avg(o.con), 9) AS mean_con, round(avg(o.top), 9) AS mean_top,
+  round(sum(o.benefit), 9) AS total_benefit, sum(o.cost)::BIGINT AS used_cost, count(*) FILTER (o.action_rank BETWEEN 1 AND 3) AS local_action_count
+FROM frontier f JOIN numbered o ON o.segment = f.segment AND substr(f.ranks, o.n, 1) = o.action_rank::VARCHAR GROUP BY f.segment, f.budget"""))
 def frontier_record(spark, sf_dir):
     a = segment_actions(spark, sf_dir)
-    frontier = pin(allocation.choice_frontier(a, (40000,)))
-    record = allocation.frontier_record(allocation.chosen_actions(frontier, a))
-    return rounded(record.select("segment", "selected_count", "mean_con", "mean_top", "total_benefit", "used_cost", "local_action_count"))
+    _, choices = allocation.search_choices(a, SEGMENT_BUDGETS)
+    record = allocation.frontier_record(allocation.chosen_actions(choices, a))
+    return rounded(record.select("segment", "budget", "selected_count", "mean_con", "mean_top", "total_benefit", "used_cost", "local_action_count"))
 
 
 @catalog.add("full_budget_check", with_views("scores", "SELECT sample_id FROM scores WHERE false"))
 def full_budget_check(spark, sf_dir):
     a = segment_actions(spark, sf_dir)
-    frontier = pin(allocation.choice_frontier(a, (40000,)))
-    return allocation.full_budget_check(allocation.chosen_actions(frontier, a), a, 40000)
+    _, choices = allocation.search_choices(a, (40000,))
+    return allocation.full_budget_check(allocation.chosen_actions(choices, a), a, 40000)
 
 
-@catalog.add("frontier_headroom")
+@catalog.add("frontier_headroom", choices_sql("""
+, calls AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(benefit, 12) DESC, footprint, sample_id DESC) AS k FROM segmented WHERE action = 'whole_table'),
+whole_ AS (SELECT f.segment, f.budget, coalesce(sum(c.benefit), 0.0) AS total FROM frontier f LEFT JOIN calls c ON c.segment = f.segment AND c.k * 1000 <= f.budget GROUP BY ALL)
+SELECT segment, budget, round(benefit - total, 6) AS headroom FROM frontier JOIN whole_ USING (segment, budget)"""))
 def frontier_headroom(spark, sf_dir):
     a = segment_actions(spark, sf_dir)
     whole = allocation.whole_table_frontier(a, SEGMENT_BUDGETS, ["segment"])
-    return rounded(allocation.headroom(allocation.choice_frontier(a, SEGMENT_BUDGETS), whole))
+    return rounded(allocation.headroom(allocation.choice_frontier(a, SEGMENT_BUDGETS), whole), 6)
 
 
 @catalog.add("local_opportunity", with_views("scores actions", f"""

@@ -2,18 +2,22 @@
 
 Records with a whole-table action only need no search: the best ``k`` calls are
 the ``k`` largest benefits.  Records with local actions form a multiple-choice
-knapsack.  It is solved for bounded chunks of records side by side, and chunk
-results are merged pairwise, so no task ever holds more than two frontiers whose
-size is bounded by the budget.
+knapsack.  It is solved for bounded chunks of records side by side.  Chunk results
+are merged pairwise by (max, +) convolution: a merge is dealt to tasks by blocks of
+the cost it puts out, so the last merges of one large segment use many tasks too.
+States carry numbers only.  What a state consists of is a row that points back to
+the costs of its two parts, and choices are read by walking down from the budgets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secondpass.operators.expectations import ACTIONS, LOCAL_ACTIONS, WHOLE_TABLE_COST
@@ -84,9 +88,10 @@ def exact_k_frontier(actions: DataFrame, segment: Sequence[str] = (), id_col: st
 
 # ---------------------------------------------------------------- multiple choice
 
-# One frontier state: cost → (benefit, area, footprint, whole calls, chosen ranks).
-# Areas are exact fractions; between tasks they travel as text ("3/8").
-_STATE = "cost bigint, benefit double, area string, footprint double, whole bigint, ranks string"
+# A frontier state: cost → (benefit, area, footprint, whole calls) and its place among the states of its node in the
+# order of chosen ranks. Areas are exact fractions; between tasks they travel as text ("3/8").
+_STATE = "cost bigint, benefit double, area string, footprint double, whole bigint, place bigint"
+_PAIRS = 1 << 22  # pairs of states that one task of a merge looks at, about
 
 
 def _better(a: tuple, b: tuple) -> bool:
@@ -94,11 +99,6 @@ def _better(a: tuple, b: tuple) -> bool:
     return (-round(a[0], _DIGITS), *a[1:]) < (-round(b[0], _DIGITS), *b[1:])
 
 
-def _frame(states: dict) -> pd.DataFrame:
-    rows = [(cost, state[0], str(state[1]), *state[2:]) for cost, state in sorted(states.items())]
-    return pd.DataFrame(rows, columns=["cost", "benefit", "area", "footprint", "whole", "ranks"])
-
-
 def _chunk_solver(limit: int, keys: Sequence[str]):
     columns = ["sample_id", "benefit", "cost", "area_num", "area_den", "footprint", "action", "action_rank"]
 
@@ -110,7 +110,10 @@ def _chunk_solver(limit: int, keys: Sequence[str]):
         states = {0: (0.0, Fraction(0), 0.0, 0, "")}
         for name in sorted(menus):
             states = _combine(states, menus[name], limit)
-        return _keyed(_frame(states), rows, keys)
+        place = {ranks: i for i, ranks in enumerate(sorted(state[4] for state in states.values()))}
+        found = [(cost, b, str(area), f, w, place[ranks], ranks) for cost, (b, area, f, w, ranks) in sorted(states.items())]
+        frame = pd.DataFrame(found, columns=["cost", "benefit", "area", "footprint", "whole", "place", "ranks"])
+        return _keyed(frame, rows, keys)
 
     return solve
 
@@ -139,68 +142,148 @@ def _combine(states: dict, options: list[tuple], limit: int) -> dict:
 
 def _keyed(frame: pd.DataFrame, rows: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
     for key in keys:
-        frame.insert(0, key, rows[key].iloc[0])
+        frame.insert(0, key, pd.Series([rows[key].iloc[0]] * len(frame), dtype=rows[key].dtype))
     return frame
 
 
-def _merger(limit: int, keys: Sequence[str]):
-    columns = ["chunk", "cost", "benefit", "area", "footprint", "whole", "ranks"]
+def convolve(left: pd.DataFrame, right: pd.DataFrame, low: int, high: int) -> pd.DataFrame:
+    """Best sum of a left and a right state for every total cost in [low, high), with the costs of its parts.
 
+    Equal benefits go to the smaller area, footprint, number of whole calls and chosen ranks, in this order.
+    """
+    left, right = left.sort_values("cost"), right.sort_values("cost")
+    unit = math.lcm(*[Fraction(a).denominator for a in {*left["area"], *right["area"]}] or [1])
+    areas = [np.array([int(Fraction(a) * unit) for a in side["area"]], dtype=object) for side in (left, right)]
+    if sum(max(map(abs, a), default=0) for a in areas) < 2**62:
+        areas = [a.astype(np.int64) for a in areas]
+    width = high - low
+    empty = np.zeros(width, dtype=np.int64)
+    # benefit as compared, then the tie breakers, then what is carried along
+    best = [np.full(width, -np.inf), np.zeros(width, areas[0].dtype), np.zeros(width), *[empty.copy() for _ in range(3)]]
+    value, from_left, from_right = np.zeros(width), empty.copy(), empty.copy()
+    costs, benefits, footprints, wholes, places = (right[c].to_numpy() for c in ("cost", "benefit", "footprint", "whole", "place"))
+    for i, (cost, benefit, footprint, whole, place) in enumerate(left[["cost", "benefit", "footprint", "whole", "place"]].itertuples(index=False, name=None)):
+        some = slice(*np.searchsorted(costs, [low - cost, high - cost]))
+        at = costs[some] + cost - low
+        total = benefit + benefits[some]
+        new = [np.round(total, _DIGITS), areas[0][i] + areas[1][some], footprint + footprints[some],
+               whole + wholes[some], np.full(len(at), place), places[some]]
+        wins, even = new[0] > best[0][at], new[0] == best[0][at]
+        for mine, held in zip(new[1:], best[1:]):
+            if not even.any():
+                break
+            old = held[at]
+            wins |= even & (mine < old).astype(bool)
+            even &= (mine == old).astype(bool)
+        to = at[wins]
+        for mine, held in zip(new, best):
+            held[to] = mine[wins]
+        value[to], from_left[to], from_right[to] = total[wins], cost, costs[some][wins]
+    hit = np.flatnonzero(best[0] > -np.inf)
+    return pd.DataFrame({
+        "cost": hit + low, "benefit": value[hit], "area": pd.Series([str(Fraction(int(a), unit)) for a in best[1][hit]], dtype=object),
+        "footprint": best[2][hit], "whole": best[3][hit], "left_place": best[4][hit], "right_place": best[5][hit],
+        "left_cost": from_left[hit], "right_cost": from_right[hit]})
+
+
+def _block_merger(keys: Sequence[str]):
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        parts: dict[int, list[tuple]] = {}
-        for chunk, cost, benefit, area, *rest in rows[columns].itertuples(index=False, name=None):
-            parts.setdefault(chunk, []).append((cost, benefit, Fraction(area), *rest))
-        first, *others = [parts[chunk] for chunk in sorted(parts)]
-        states = {state[0]: state[1:] for state in first}
-        for other in others:
-            states = _combine(states, other, limit)
-        result = _frame(states)
-        result.insert(0, "chunk", int(min(parts)) // 2)
+        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        result = convolve(rows[rows["side"] == 0], rows[rows["side"] == 1], low, high)
+        result.insert(0, "chunk", np.full(len(result), rows["chunk"].iloc[0]))
         return _keyed(result, rows, keys)
 
     return merge
 
 
-def choice_frontier(actions: DataFrame, budgets: Sequence[int], segment: Sequence[str] = ("segment",),
-                    id_col: str = "sample_id", chunk_records: int = 32) -> DataFrame:
+def _merge_level(states: DataFrame, limit: int, keys: list[str], key_ddl: str) -> DataFrame:
+    """Neighbouring chunks merged: states of the next level with the costs of their parts (right null where none)."""
+    sided = states.withColumn("side", F.col("chunk") % 2).withColumn("chunk", F.floor(F.col("chunk") / 2))
+    node = [*keys, "chunk"]
+    sizes = sided.groupBy(*node).agg(*[
+        F.coalesce(f(F.when(F.col("side") == side, F.col("cost"))), F.lit(0)).alias(f"_{what}{side}")
+        for side in (0, 1) for what, f in (("n", F.count), ("dearest", F.max))])
+    sizes = sizes.withColumn("_top", F.least(F.lit(limit), F.col("_dearest0") + F.col("_dearest1")) + 1)
+    sizes = sizes.withColumn("_blocks", F.least(F.col("_top"), F.ceil(F.col("_n0") * F.col("_n1") / _PAIRS)))
+    sizes = sizes.withColumn("_width", F.ceil(F.col("_top") / F.greatest("_blocks", F.lit(1))))
+    sided = pin(sided.join(sizes, node), "sides")
+    alone = sided.where("_n1 = 0")
+    # A state meets the blocks of total costs that it can reach with any state of the other side.
+    other = F.when(F.col("side") == 0, F.col("_dearest1")).otherwise(F.col("_dearest0"))
+    first = F.floor(F.col("cost") / F.col("_width"))
+    last = F.floor(F.least(F.col("cost") + other, F.col("_top") - 1) / F.col("_width"))
+    dealt = sided.where(F.col("_n1") > 0).withColumn("_block", F.explode(F.sequence(first, last)))
+    dealt = dealt.withColumn("low", F.col("_block") * F.col("_width")).withColumn(
+        "high", F.least(F.col("low") + F.col("_width"), "_top"))
+    merged = spread(dealt, *node, "_block").groupBy(*node, "_block").applyInPandas(_block_merger(list(reversed(keys))), (
+        f"{key_ddl}, chunk bigint, cost bigint, benefit double, area string, footprint double, whole bigint, "
+        "left_place bigint, right_place bigint, left_cost bigint, right_cost bigint"))
+    # A node has one state per cost, at most limit + 1. A dearer state without more benefit is dropped, across blocks.
+    cheaper = Window.partitionBy(*node).orderBy("cost").rowsBetween(Window.unboundedPreceding, -1)
+    compared = F.round("benefit", _DIGITS)
+    merged = merged.withColumn("_best", F.max(compared).over(cheaper)).where(F.col("_best").isNull() | (compared > F.col("_best")))
+    by_ranks = Window.partitionBy(*node).orderBy("left_place", "right_place")
+    merged = merged.withColumn("place", F.row_number().over(by_ranks).cast("long"))
+    names = [*node, "cost", "benefit", "area", "footprint", "whole", "place", "left_cost", "right_cost"]
+    alone = alone.withColumn("left_cost", F.col("cost")).withColumn("right_cost", F.lit(None).cast("long"))
+    return merged.select(*names).unionByName(alone.select(*names))
+
+
+def search_choices(actions: DataFrame, budgets: Sequence[int], segment: Sequence[str] = ("segment",),
+                   id_col: str = "sample_id", chunk_records: int = 32) -> tuple[DataFrame, DataFrame]:
     """Exact best choice of one action per record, per segment and budget.
 
-    Returns cost, benefit, area (an exact fraction as text), footprint,
-    whole-table calls and the chosen action ranks in id order.
+    Returns the frontier (cost, benefit, area as an exact fraction in text, footprint, whole-table calls
+    per segment and budget) and the choices (segment, budget, id, action_rank) that make it up.
     """
     keys = list(segment)
     limit = int(max(budgets))
     options = eligible_actions(actions).select(
         *keys, F.col(id_col).alias("sample_id"), "action", "action_rank", "benefit", "cost", "area_num", "area_den", "footprint")
-    ids = with_rank(options.select(*keys, "sample_id").distinct(), ["sample_id"], keys, "_n")
+    ids = pin(with_rank(options.select(*keys, "sample_id").distinct(), ["sample_id"], keys, "_n"), "record-numbers")
     chunked = options.join(ids, [*keys, "sample_id"]).withColumn(
         "chunk", F.floor((F.col("_n") - 1) / chunk_records)).drop("_n")
     types = {f.name: f.dataType.simpleString() for f in actions.schema}
     key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    states = spread(chunked, *keys, "chunk").groupBy(*keys, "chunk").applyInPandas(
-        _chunk_solver(limit, ["chunk", *reversed(keys)]), f"{key_ddl}, chunk bigint, {_STATE}")
-    states = pin(states, "frontier")
-    merge = _merger(limit, list(reversed(keys)))
-    while states.where("chunk > 0").take(1):
-        # Neighbours in id order meet, so chosen ranks stay in id order.
-        paired = states.withColumn("_pair", F.floor(F.col("chunk") / 2))
-        states = pin(spread(paired, *keys, "_pair").groupBy(*keys, "_pair").applyInPandas(
-            merge, f"{key_ddl}, chunk bigint, {_STATE}"), "frontier")
+    solved = pin(spread(chunked, *keys, "chunk").groupBy(*keys, "chunk").applyInPandas(
+        _chunk_solver(limit, ["chunk", *reversed(keys)]), f"{key_ddl}, chunk bigint, {_STATE}, ranks string"), "frontier")
+    levels, states = [], solved.drop("ranks")
+    chunks = solved.agg(F.max("chunk")).first()[0] or 0
+    while chunks:
+        # Neighbours in id order meet, so the order of chosen ranks is that of the parts.
+        states = pin(_merge_level(states, limit, keys, key_ddl), "frontier")
+        levels.append(states)
+        states, chunks = states.drop("left_cost", "right_cost"), chunks // 2
     grid = ", ".join(f"{int(b)}L" for b in budgets)
     reachable = states.select("*", F.explode(F.expr(f"filter(array({grid}), b -> cost <= b)")).alias("budget"))
     # Kept states rise strictly in benefit with their cost, so the best affordable one is unique.
     sort_key = F.struct((-F.round("benefit", _DIGITS)).alias("b"), "cost")
-    value = F.struct("cost", "benefit", "area", "footprint", "whole", "ranks")
-    return reachable.groupBy(*keys, "budget").agg(F.min_by(value, sort_key).alias("_best")).select(*keys, "budget", "_best.*")
+    value = F.struct("cost", "benefit", "area", "footprint", "whole")
+    frontier = pin(reachable.groupBy(*keys, "budget").agg(F.min_by(value, sort_key).alias("_best")).select(
+        *keys, "budget", "_best.*"), "frontier")
+    wanted = frontier.select(*keys, "budget", F.lit(0).cast("long").alias("chunk"), "cost")
+    for level in reversed(levels):
+        parts = wanted.join(level.select(*keys, "chunk", "cost", "left_cost", "right_cost"), [*keys, "chunk", "cost"])
+        both = F.array(F.struct((F.col("chunk") * 2).alias("chunk"), F.col("left_cost").alias("cost")),
+                       F.struct((F.col("chunk") * 2 + 1).alias("chunk"), F.col("right_cost").alias("cost")))
+        wanted = parts.select(*keys, "budget", F.inline(both)).where("cost IS NOT NULL")
+    picks = wanted.join(solved.select(*keys, "chunk", "cost", "ranks"), [*keys, "chunk", "cost"]).select(
+        *keys, "budget", "chunk", F.posexplode(F.split("ranks", "(?!^)(?!$)")).alias("_p", "_r"))
+    picks = picks.select(*keys, "budget", (F.col("chunk") * chunk_records + F.col("_p") + 1).alias("_n"),
+                         F.col("_r").cast("int").alias("action_rank"))
+    picks = picks.join(ids, [*keys, "_n"]).select(*keys, "budget", F.col("sample_id").alias(id_col), "action_rank")
+    return frontier, picks
 
 
-def chosen_actions(frontier: DataFrame, actions: DataFrame, segment: Sequence[str] = ("segment",), id_col: str = "sample_id") -> DataFrame:
-    """One action row per record and budget, from the chosen ranks of each segment."""
-    keys = list(segment)
-    ids = with_rank(actions.select(*keys, id_col).distinct(), [id_col], keys, "_n")
-    picks = frontier.select(*keys, "budget", F.posexplode(F.split("ranks", "(?!^)(?!$)")).alias("_p", "_r")).select(
-        *keys, "budget", (F.col("_p") + 1).cast("long").alias("_n"), F.col("_r").cast("int").alias("action_rank"))
-    return picks.join(ids, [*keys, "_n"]).drop("_n").join(actions, [*keys, id_col, "action_rank"])
+def choice_frontier(actions: DataFrame, budgets: Sequence[int], segment: Sequence[str] = ("segment",),
+                    id_col: str = "sample_id", chunk_records: int = 32) -> DataFrame:
+    """The frontier of ``search_choices``."""
+    return search_choices(actions, budgets, segment, id_col, chunk_records)[0]
+
+
+def chosen_actions(choices: DataFrame, actions: DataFrame, segment: Sequence[str] = ("segment",), id_col: str = "sample_id") -> DataFrame:
+    """One action row per record and budget."""
+    return choices.join(actions, [*segment, id_col, "action_rank"])
 
 
 def frontier_record(chosen: DataFrame, segment: Sequence[str] = ("segment",)) -> DataFrame:

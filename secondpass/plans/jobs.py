@@ -226,9 +226,9 @@ def diagnose_routes(development: DataFrame, evaluation: DataFrame, routes: DataF
 def analyse_frontier(actions: DataFrame, budgets: Sequence[int], segment: str = "segment") -> dict[str, DataFrame]:
     """Both frontiers per segment, headroom, local opportunity and integrity at the full budget."""
     actions = pin(actions, "actions")
-    local = pin(allocation.choice_frontier(actions, budgets, [segment]), "local")
+    local, choices = allocation.search_choices(actions, budgets, [segment])
     whole = pin(allocation.whole_table_frontier(actions, budgets, [segment]), "whole")
-    chosen = pin(allocation.chosen_actions(local, actions, [segment]), "chosen")
+    chosen = pin(allocation.chosen_actions(choices, actions, [segment]), "chosen")
     return {
         "checks": expectations.check_actions(actions), "local": allocation.frontier_record(chosen, [segment]), "whole": whole,
         "headroom": allocation.headroom(local, whole, [segment, "budget"]), "opportunity": allocation.local_opportunity(actions),

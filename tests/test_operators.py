@@ -173,17 +173,50 @@ def test_choice_frontier_equals_enumeration(spark):
         for budget in budgets:
             best = max(sum(o[1] for o in pick) for pick in itertools.product(*[options[n] for n in names]) if sum(o[0] for o in pick) <= budget)
             assert abs(found[budget]["benefit"] - best) < 1e-9 and found[budget]["cost"] <= budget
-            assert len(found[budget]["ranks"]) == len(names)
     thirds = df.withColumn("area_den", F.expr("if(available, 3000L, NULL)"))
     exact = allocation.choice_frontier(thirds, (7000,), chunk_records=2).first()
     assert Fraction(exact["area"]) == Fraction(exact["cost"], 3000)
-    frontier = allocation.choice_frontier(df, budgets, chunk_records=2)
-    chosen = allocation.chosen_actions(frontier, df)
+    frontier, choices = allocation.search_choices(df, budgets, chunk_records=2)
+    chosen = allocation.chosen_actions(choices, df)
+    totals = {r["budget"]: (r["n"], r["cost"], r["benefit"]) for r in chosen.groupBy("budget").agg(
+        F.count("sample_id").alias("n"), F.sum("cost").alias("cost"), F.sum("benefit").alias("benefit")).collect()}
+    for budget in budgets:
+        n, cost, benefit = totals[budget]
+        assert n == len(names) and cost == found[budget]["cost"] and abs(benefit - found[budget]["benefit"]) < 1e-9
     assert allocation.full_budget_check(chosen, df, 7000).count() == 0
     whole = allocation.whole_table_frontier(df, budgets, ["segment"])
     assert allocation.headroom(frontier, whole).where("headroom < -1e-12").count() == 0
 
 
+def test_merges_in_blocks_equal_one_merge(spark, monkeypatch):
+    """However a merge is cut into blocks of output cost, states, ties and choices are the same."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        for rank, (name, cost) in enumerate((("retain_primary", 0), ("core_read_core_write", 250), ("halo_read_core_write", 400), ("whole_table", 1000))):
+            benefit = 0.0 if rank == 0 else int(rng.integers(1, 6)) / 4  # many ties
+            rows.append((f"s{i:03d}", rank, name, True, benefit, cost, cost, 700 + i % 3, float(cost)))
+    df = spark.createDataFrame(rows, "sample_id string, action_rank int, action string, available boolean, benefit double, "
+                                     "cost bigint, area_num bigint, area_den bigint, footprint double").withColumn("segment", F.lit(1))
+    budgets = (0, 650, 5000, 12345)
+    best = np.full(12346, -1.0)
+    best[0] = 0
+    for i in range(90):
+        step = np.full(12346, -1.0)
+        for row in rows[4 * i:4 * i + 4]:
+            cost, held = row[5], best[:12346 - row[5]]
+            step[cost:] = np.maximum(step[cost:], np.where(held >= 0, held + row[4], -1))
+        best = step
+    seen = []
+    for pairs, chunk in ((1 << 22, 100), (1 << 22, 7), (50, 7)):
+        monkeypatch.setattr(allocation, "_PAIRS", pairs)
+        frontier, choices = allocation.search_choices(df, budgets, chunk_records=chunk)
+        seen.append((sorted(map(tuple, frontier.collect())), sorted(map(tuple, choices.select("budget", "sample_id", "action_rank").collect()))))
+        for r in frontier.collect():
+            assert abs(r["benefit"] - best[:r["budget"] + 1].max()) < 1e-9
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_risk_midrank(spark):
     values = spark.createDataFrame([("r", 0.0), ("r", 2.0), ("r", 9.0)], "risk string, value double")
     population = spark.createDataFrame([("r", 1.0), ("r", 2.0), ("r", 2.0), ("r", 3.0)], "risk string, value double")

@@ -34,3 +34,16 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*[
         F.round(F.col(name), digits).alias(name) if kind == "double" else F.col(name) for name, kind in df.dtypes
     ])
+
+
+def random_bits_sql(rows: str, seed: str, repetition: str = "repetition", position: str = "position") -> str:
+    """The SQL table ``rows`` with a column ``bits``: 52 random bits per repetition and position, as the package draws them."""
+    return f"(SELECT *, ('0x' || left(md5('{seed}:' || {repetition} || ':' || {position}), 13))::BIGINT AS bits FROM {rows})"
+
+
+def random_ranks_sql(seed: str, routes: int, budget: int) -> str:
+    """Ranks of random routes over ``scores``; of each route at least the first ``budget`` rows."""
+    return f"""(SELECT repetition, sample_id, row_number() OVER (PARTITION BY repetition ORDER BY k, sample_id) AS rank FROM (
+      SELECT repetition, sample_id, sha256('{seed}:' || repetition || ':' || sample_id) AS k
+      FROM scores, (SELECT unnest(range({routes}))::INTEGER AS repetition)), (SELECT count(*) AS n FROM scores)
+    WHERE ('0x' || left(k, 8))::BIGINT < 4294967296.0 * ({budget} + 8 * sqrt({budget}) + 30) / n)"""

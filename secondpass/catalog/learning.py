@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from secondpass.catalog import views
-from secondpass.catalog.common import Catalog, rounded
+from secondpass.catalog.common import Catalog, random_bits_sql, rounded
 from secondpass.catalog.geometry import feature_table
 from secondpass.catalog.payloads import html_payloads
 from secondpass.catalog.routing import SEED, labelled
@@ -20,36 +20,52 @@ FAST = {"max_depth": 3, "learning_rate": 0.1, "max_iter": 5}
 
 # ---------------------------------------------------------------- resampling
 
-@catalog.add("paired_bootstrap", DEPLOYED + f""",
-d AS (SELECT deployed_con - primary_con AS difference, row_number() OVER (ORDER BY sample_id) - 1 AS position FROM deployed),
-n AS (SELECT count(*) AS n FROM d),
-draws AS (SELECT repetition, ('0x' || left(sha256('{SEED}:' || repetition || ':' || position), 15))::BIGINT % n AS position
-  FROM d, n, (SELECT unnest(range(20)) AS repetition)),
-means AS (SELECT repetition, avg(difference) AS mean FROM draws JOIN d USING (position) GROUP BY repetition)
+REPLICATES = 5000
+_DIFFERENCES = """,
+d AS (SELECT deployed_con - primary_con AS difference, sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS position FROM deployed),
+n AS (SELECT count(*) AS n FROM d)"""
+_EACH = f"(SELECT *, unnest(range({REPLICATES})) AS repetition FROM %s)"
+_BOUNDS = """
 SELECT round((SELECT avg(difference) FROM d), 9) AS observed, round(quantile_cont(mean, 0.025), 9) AS lower,
-  round(quantile_cont(mean, 0.975), 9) AS upper, count(*) AS replicates FROM means""")
+  round(quantile_cont(mean, 0.975), 9) AS upper, count(*) AS replicates FROM means"""
+
+
+@catalog.add("paired_bootstrap", DEPLOYED + _DIFFERENCES + f""",
+draws AS (SELECT repetition, bits % n AS position FROM {random_bits_sql(_EACH % "d", SEED)}, n),
+means AS (SELECT repetition, avg(difference) AS mean FROM draws JOIN d USING (position) GROUP BY repetition)""" + _BOUNDS)
 def paired_bootstrap(spark, sf_dir):
-    return rounded(resampling.paired_bootstrap(pin(deployed_rows(spark, sf_dir)), "deployed_con", "primary_con", SEED, 20))
+    return rounded(resampling.paired_bootstrap(pin(deployed_rows(spark, sf_dir)), "deployed_con", "primary_con", SEED, REPLICATES))
+
+
+def _poisson_sql(u: str) -> str:
+    cases, cumulative, term = "", 0.0, 0.36787944117144233
+    for k in range(20):
+        cumulative += term
+        cases += f" WHEN {u} < {cumulative!r}::DOUBLE THEN {k}"
+        term /= k + 1
+    return f"CASE{cases} ELSE 20 END"
 
 
-@catalog.add("poisson_bootstrap")
+@catalog.add("poisson_bootstrap", DEPLOYED + _DIFFERENCES + f""",
+weighted AS (SELECT repetition, difference, {_poisson_sql("u")} AS w FROM (
+  SELECT *, (bits + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM {random_bits_sql(_EACH % "d", SEED, position="sample_id")})),
+means AS (SELECT repetition, sum(w * difference) / sum(w) AS mean FROM weighted GROUP BY repetition)""" + _BOUNDS)
 def poisson_bootstrap(spark, sf_dir):
     return rounded(resampling.paired_bootstrap(
-        pin(deployed_rows(spark, sf_dir)), "deployed_con", "primary_con", SEED, 20, method="poisson"))
+        pin(deployed_rows(spark, sf_dir)), "deployed_con", "primary_con", SEED, REPLICATES, method="poisson"))
 
 
 @catalog.add("clustered_bootstrap", DEPLOYED + f""",
 t AS (SELECT issuer, count(*) AS n, sum(deployed_con - primary_con) AS con_diff, sum(deployed_top - primary_top) AS top_diff FROM deployed GROUP BY issuer),
 p AS (SELECT *, row_number() OVER (ORDER BY issuer) - 1 AS position FROM t), s AS (SELECT count(*) AS size FROM t),
-draws AS (SELECT repetition, ('0x' || left(sha256('{SEED}:' || repetition || ':' || position), 15))::BIGINT % size AS position
-  FROM p, s, (SELECT unnest(range(50)) AS repetition)),
+draws AS (SELECT repetition, bits % size AS position FROM {random_bits_sql(_EACH % "p", SEED)}, s),
 m AS (SELECT repetition, sum(con_diff) / sum(n) AS con, sum(top_diff) / sum(n) AS top FROM draws JOIN p USING (position) GROUP BY repetition)
 SELECT 'con_diff' AS metric, round((SELECT sum(con_diff) / sum(n) FROM t), 9) AS observed, round(quantile_cont(con, 0.025), 9) AS lower,
   round(quantile_cont(con, 0.975), 9) AS upper, count(*) AS replicates FROM m
 UNION ALL SELECT 'top_diff', round((SELECT sum(top_diff) / sum(n) FROM t), 9), round(quantile_cont(top, 0.025), 9), round(quantile_cont(top, 0.975), 9), count(*) FROM m""")
 def clustered_bootstrap(spark, sf_dir):
     totals = pin(aggregates.cluster_totals(deployed_rows(spark, sf_dir), "issuer"))
-    return rounded(resampling.clustered_bootstrap(totals, "issuer", ["con_diff", "top_diff"], SEED, 50))
+    return rounded(resampling.clustered_bootstrap(totals, "issuer", ["con_diff", "top_diff"], SEED, REPLICATES))
 
 
 # ---------------------------------------------------------------- folds and models

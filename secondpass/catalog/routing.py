@@ -3,16 +3,17 @@
 from pyspark.sql import functions as F
 
 from secondpass.catalog import views
-from secondpass.catalog.common import Catalog, rounded
+from secondpass.catalog.common import Catalog, random_ranks_sql, rounded
 from secondpass.catalog.views import with_views
 from secondpass.functions import scalars
-from secondpass.operators import routing
+from secondpass.operators import resampling, routing
 
 catalog = Catalog()
 
 BUDGETS = (0, 30, 60, 90, 120, 180, 300, 2000, 8000)
 SEED = "secondpass-random"
-REPETITIONS = 5
+REPETITIONS = 5  # whole random rankings, returned row by row
+ROUTES = 2000  # random routes behind a control
 BENEFIT = "CASE WHEN expert_status = 'success' THEN expert_con - primary_con ELSE 0.0 END"
 
 
@@ -187,11 +188,10 @@ def dedupe_route(spark, sf_dir):
 
 
 @catalog.add("random_position", "WITH " + LABELLED + f""",
-drawn AS (SELECT repetition, sample_id, row_number() OVER (PARTITION BY repetition
-    ORDER BY sha256('{SEED}:' || repetition || ':' || sample_id), sample_id) AS rank
-  FROM scores, (SELECT unnest(range({REPETITIONS}))::INTEGER AS repetition)),
-means AS (SELECT repetition, avg(primary_con + CASE WHEN rank <= 2000 THEN benefit ELSE 0.0 END) AS hybrid_con
-  FROM drawn JOIN labelled USING (sample_id) GROUP BY repetition),
+drawn AS {random_ranks_sql(SEED, ROUTES, 2000)},
+base AS (SELECT count(*) AS n, sum(primary_con) AS con FROM labelled),
+means AS (SELECT repetition, (any_value(con) + sum(benefit)) / any_value(n) AS hybrid_con
+  FROM drawn JOIN labelled USING (sample_id), base WHERE rank <= 2000 GROUP BY repetition),
 target AS (SELECT avg(primary_con + CASE WHEN rank <= 2000 THEN benefit ELSE 0.0 END) AS target FROM (
   SELECT *, row_number() OVER (ORDER BY pred_benefit DESC, sample_id) AS rank FROM labelled))
 SELECT round(any_value(target), 9) AS target, avg((round(hybrid_con, 12) <= round(target, 12))::INTEGER) AS share_at_or_below,
@@ -200,9 +200,7 @@ SELECT round(any_value(target), 9) AS target, avg((round(hybrid_con, 12) <= roun
 FROM means, target""")
 def random_position(spark, sf_dir):
     s = labelled(spark, sf_dir)
-    keep = ["primary_con", "primary_top", *routing.expert_columns().values()]
-    drawn = routing.random_order(s, SEED, REPETITIONS, keep=keep)
-    means = routing.evaluate_rankings(drawn, (2000,), ("repetition",))
+    means = resampling.random_means(s, (2000,), ROUTES, SEED)
     ranked = routing.rank_by_score(s, "pred_benefit").withColumn("method", F.lit("predicted"))
     target = routing.evaluate_rankings(ranked, (2000,)).select(F.col("hybrid_full_set_con").alias("target"))
     return rounded(routing.random_position(means, target, "hybrid_full_set_con"))

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from secondpass.catalog import views
-from secondpass.catalog.common import Catalog, rounded
-from secondpass.catalog.routing import LABELLED, SEED, labelled
+from secondpass.catalog.common import Catalog, random_ranks_sql, rounded
+from secondpass.catalog.routing import LABELLED, ROUTES, SEED, labelled
 from secondpass.catalog.views import with_views
 from secondpass.operators import aggregates, routing
 
@@ -233,13 +233,12 @@ def all_cohorts(spark, sf_dir):
 
 
 @catalog.add("random_summary", "WITH " + LABELLED + f""",
-drawn AS (SELECT repetition, sample_id, row_number() OVER (PARTITION BY repetition
-    ORDER BY sha256('{SEED}:' || repetition || ':' || sample_id), sample_id) AS rank
-  FROM scores, (SELECT unnest(range(5))::INTEGER AS repetition)),
-per AS (SELECT budget, repetition, avg(primary_con + CASE WHEN rank <= budget THEN benefit ELSE 0.0 END) AS con,
-    avg(primary_top + CASE WHEN rank <= budget AND expert_status = 'success' THEN expert_top - primary_top ELSE 0.0 END) AS top,
-    sum(CASE WHEN rank <= budget THEN expert_seconds ELSE 0.0 END) AS seconds
-  FROM drawn JOIN labelled USING (sample_id), (SELECT unnest([300, 2000])::BIGINT AS budget) GROUP BY ALL)
+drawn AS {random_ranks_sql(SEED, ROUTES, 2000)},
+base AS (SELECT count(*) AS n, sum(primary_con) AS con, sum(primary_top) AS top FROM labelled),
+per AS (SELECT budget, repetition, (any_value(b.con) + sum(benefit)) / any_value(n) AS con,
+    (any_value(b.top) + sum(CASE WHEN expert_status = 'success' THEN expert_top - primary_top ELSE 0.0 END)) / any_value(n) AS top,
+    sum(expert_seconds) AS seconds
+  FROM drawn JOIN labelled USING (sample_id), base b, (SELECT unnest([300, 2000])::BIGINT AS budget) WHERE rank <= budget GROUP BY budget, repetition)
 SELECT budget, count(*) AS repetitions, round(avg(con), 9) AS mean_con, round(median(con), 9) AS median_con,
   round(quantile_cont(con, 0.025), 9) AS lower_con, round(quantile_cont(con, 0.975), 9) AS upper_con,
   round(avg(top), 9) AS mean_top, round(avg(seconds), 6) AS mean_expert_seconds
@@ -247,16 +246,14 @@ FROM per GROUP BY budget""")
 def random_summary(spark, sf_dir):
     from secondpass.operators import resampling
 
-    return rounded(resampling.random_summary(views.scores(spark, sf_dir), (300, 2000), 5, SEED))
+    return rounded(resampling.random_summary(views.scores(spark, sf_dir), (300, 2000), ROUTES, SEED))
 
 
 @catalog.add("random_mean_vector", "WITH " + LABELLED + f""",
-drawn AS (SELECT sample_id, count(*) FILTER (rank <= 2000) AS picked FROM (
-  SELECT sample_id, row_number() OVER (PARTITION BY repetition
-    ORDER BY sha256('{SEED}:' || repetition || ':' || sample_id), sample_id) AS rank
-  FROM scores, (SELECT unnest(range(5))::INTEGER AS repetition)) GROUP BY sample_id)
-SELECT sample_id, picked, round(primary_con + benefit * picked / 5.0, 9) AS mean_con FROM drawn JOIN labelled USING (sample_id)""")
+drawn AS (SELECT sample_id, count(*) AS picked FROM {random_ranks_sql(SEED, ROUTES, 2000)} WHERE rank <= 2000 GROUP BY sample_id)
+SELECT sample_id, coalesce(picked, 0) AS picked, round(primary_con + benefit * coalesce(picked, 0) / {ROUTES}.0, 9) AS mean_con
+FROM labelled LEFT JOIN drawn USING (sample_id)""")
 def random_mean_vector(spark, sf_dir):
     from secondpass.operators import resampling
 
-    return rounded(resampling.random_mean_vector(views.scores(spark, sf_dir), 2000, 5, SEED))
+    return rounded(resampling.random_mean_vector(views.scores(spark, sf_dir), 2000, ROUTES, SEED))

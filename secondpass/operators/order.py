@@ -19,6 +19,8 @@ from secondpass.session import pin
 
 # A group up to this many rows is sorted by one task without spilling much.
 HOT_GROUP_ROWS = 1_000_000
+# Rank error of the sketch, as one part in so many, and how far from the wanted share the cuts lie.
+_CUT_ACCURACY, _CUT_MARGIN = 10_000, 3e-4
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
 
@@ -99,6 +101,38 @@ def with_rank(
     return cold_rows.unionByName(hot_rows_ranked.select(*df.columns, name))
 
 
+def first_rows(df: DataFrame, order: Sequence[Column | str], key: Column, count: int) -> DataFrame:
+    """The first ``count`` rows in ``order``, without sorting the others.
+
+    ``key`` is a double that never falls along ``order`` (equal keys are allowed). A
+    mergeable sketch of the keys gives two cuts around the wanted place. Rows before the
+    first are in, rows after the second are out, and only those between are ranked. The cuts are
+    checked by counting, so the result is exact; were they wrong, all rows would be between.
+    """
+    if count <= 0:
+        return df.limit(0)
+    (name,) = [next(n for n in (f"_key{i}" for i in range(len(df.columns) + 1)) if n not in df.columns)]
+    keyed = df.withColumn(name, key)
+    total = keyed.count()
+    if total <= count:
+        return df
+    share = count / total
+    cuts = keyed.agg(F.percentile_approx(name, [max(0.0, share - _CUT_MARGIN), min(1.0, share + _CUT_MARGIN)], _CUT_ACCURACY)).first()[0]
+    before, between = F.col(name) < F.lit(cuts[0]), (F.col(name) >= F.lit(cuts[0])) & (F.col(name) <= F.lit(cuts[1]))
+    sure, near = keyed.agg(F.count_if(before), F.count_if(between)).first()
+    if not sure <= count <= sure + near:
+        before, between, sure = F.lit(False), F.lit(True), 0
+    ranked = with_rank(keyed.where(between), order, name=f"{name}_rank")
+    rest = ranked.where(F.col(f"{name}_rank") <= count - sure)
+    return keyed.where(before).select(*df.columns).unionByName(rest.select(*df.columns))
+
+
+def descending_key(value: str | Column) -> Column:
+    """A key for ``first_rows`` along descending ``value``: NaN first, null last."""
+    value = F.col(value).cast("double") if isinstance(value, str) else value.cast("double")
+    return F.coalesce(F.when(F.isnan(value), F.lit(float("-inf"))).otherwise(-value), F.lit(float("inf")))
+
+
 def _global_running(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
     placed = _ranged(df, order)
     offsets = _range_offsets(placed, F.sum(value))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondpass.functions.scalars import TIE_TOLERANCE
-from secondpass.operators.order import with_rank, with_running_total
+from secondpass.operators.order import descending_key, first_rows, with_rank, with_running_total
+from secondpass.session import pin, spread
 
 
 def rank_by_score(df: DataFrame, score: str, id_col: str = "sample_id", name: str = "rank") -> DataFrame:
@@ -29,7 +30,7 @@ def route_for_budget(df: DataFrame, score: str, budget: int, id_col: str = "samp
         raise ValueError("budget must not be negative")
     if allowed_budgets is not None and budget not in allowed_budgets:
         raise ValueError(f"unsupported routing budget: {budget}")
-    return df.orderBy(F.desc(score), F.asc(id_col)).limit(budget)
+    return first_rows(df, [F.desc(score), F.asc(id_col)], descending_key(score), budget)
 
 
 def budget_of_fraction(df: DataFrame, fraction: float) -> DataFrame:
@@ -41,10 +42,8 @@ def budget_of_fraction(df: DataFrame, fraction: float) -> DataFrame:
 
 def route_fraction(df: DataFrame, score: str, fraction: float, id_col: str = "sample_id") -> DataFrame:
     """Ranked rows up to the half-even rounded share of the population."""
-    ranked = rank_by_score(df.withColumn("_one", F.lit(1)), score, id_col)
-    limit = budget_of_fraction(df, fraction).select(F.lit(1).alias("_one"), "budget")
-    # ``limit`` always has exactly one row.
-    return ranked.join(F.broadcast(limit), "_one").where(F.col("rank") <= F.col("budget")).drop("_one", "budget")
+    budget = budget_of_fraction(df, fraction).first()["budget"]
+    return rank_by_score(route_for_budget(df, score, budget, id_col), score, id_col)
 
 
 def rankings(df: DataFrame, scores: dict[str, str], id_col: str = "sample_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -58,18 +57,45 @@ def random_key(seed: str, repetition: Column, id_col: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), repetition.cast("string"), F.col(id_col)), 256)
 
 
+_PREFIX = 13  # leading hex digits of a random key that a double holds exactly
+
+
+def _prefix(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, _PREFIX), 16, 10).cast("double")
+
+
+def _bound(budget: int, total: int) -> float:
+    """Keys below it are more than ``budget`` of ``total`` uniform ones, but for one case in a thousand million."""
+    return min(1.0, (budget + 6 * budget**0.5 + 20) / max(total, 1)) * 16.0**_PREFIX
+
+
 def random_order(df: DataFrame, seed: str, repetitions: int, id_col: str = "sample_id",
-                 keep: Sequence[str] = ()) -> DataFrame:
-    """Deterministic random ranking per repetition, ordered by SHA-256 of ``seed:repetition:id``."""
-    expanded = df.select(id_col, *keep, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"))
+                 keep: Sequence[str] = (), budget: int | None = None) -> DataFrame:
+    """Deterministic random ranking per repetition, ordered by SHA-256 of ``seed:repetition:id``.
+
+    With a ``budget`` only its first ranks are returned, and only rows that can be among them are
+    moved: those whose key lies below a bound that leaves more than the budget in every repetition
+    but for rare ones. Repetitions with fewer are found by counting and taken whole.
+    """
+    # The work is rows times repetitions, so the rows are dealt to all tasks first.
+    expanded = spread(df.select(id_col, *keep), id_col).select(id_col, *keep, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"))
     keyed = expanded.withColumn("_key", random_key(seed, F.col("repetition"), id_col))
-    return with_rank(keyed, ["_key", id_col], ["repetition"]).drop("_key")
+    if budget is None:
+        return with_rank(keyed, ["_key", id_col], ["repetition"]).drop("_key")
+    total = df.count()
+    kept = pin(keyed.where(_prefix(F.col("_key")) < _bound(budget, total)), "random-keys")
+    # One row per repetition, a parameter of the job.
+    enough = {r["repetition"] for r in kept.groupBy("repetition").count().where(F.col("count") >= min(budget, total)).collect()}
+    short = [r for r in range(repetitions) if r not in enough]
+    if short:
+        kept = kept.where(~F.col("repetition").isin(short)).unionByName(keyed.where(F.col("repetition").isin(short)))
+    return with_rank(kept, ["_key", id_col], ["repetition"]).where(F.col("rank") <= budget).drop("_key")
 
 
 def random_route(df: DataFrame, seed: str, repetition: int, budget: int, id_col: str = "sample_id") -> DataFrame:
     """One matched-budget random route."""
     keyed = df.select(id_col).withColumn("_key", random_key(seed, F.lit(repetition), id_col))
-    return keyed.orderBy("_key", id_col).limit(budget).select(id_col)
+    return first_rows(keyed, ["_key", id_col], _prefix(F.col("_key")), budget).select(id_col)
 
 
 def combine_selections(left: DataFrame, right: DataFrame, how: str, id_col: str = "sample_id") -> DataFrame:
@@ -217,6 +243,20 @@ def evaluate_rankings(ranked: DataFrame, budgets: Sequence[int], keys: Sequence[
     return finish_metrics(_budget_totals(ranked, budgets, keys, expert), [*keys, "budget"], primary_cost)
 
 
+def evaluate_drawn(drawn: DataFrame, scores: DataFrame, budgets: Sequence[int], keys: Sequence[str], expert: str = "expert",
+                   id_col: str = "sample_id", primary_cost: float = 0.0) -> DataFrame:
+    """Metrics of rankings of which only the first rows ``(*keys, rank, id)`` are given, over one population of scores."""
+    outcomes = with_outcomes(scores, expert)
+    filed = drawn.select(*keys, "rank", id_col).join(outcomes, id_col).withColumn("_file", F.expr(_file_sql(budgets)))
+    per_file = filed.groupBy(*keys, "_file").agg(*_call_parts())
+    wanted = ", ".join(f"{int(b)}L" for b in sorted(set(budgets)))
+    inside = "_file >= 0 AND _file <= budget"
+    calls = per_file.withColumn("budget", F.expr(f"explode(array({wanted}))")).groupBy(*keys, "budget").agg(
+        *[F.expr(f"sum(if({inside}, {part}, 0)) AS {part}") for part in CALL_PARTS]).withColumn("_one", F.lit(1))
+    totals = outcomes.agg(*_population_parts()).withColumn("_one", F.lit(1))  # exactly one row
+    return finish_metrics(calls.join(F.broadcast(totals), "_one"), [*keys, "budget"], primary_cost)
+
+
 def quality_budget_curve(scores: DataFrame, methods: dict[str, str], budgets: Sequence[int],
                          expert: str = "expert", id_col: str = "sample_id", primary_cost: float = 0.0) -> DataFrame:
     """All rankings at all budgets, plus the row that never calls the expert at each budget."""

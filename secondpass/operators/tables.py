@@ -24,10 +24,12 @@ _PARSED_ARROW = pa.struct([
 ])
 
 
-def _read(text: str | None, notation: str, strict: bool) -> dict:
+def _read(text: str | bytes | None, notation: str, strict: bool) -> dict:
     try:
+        if isinstance(text, bytes):
+            text = reader.decoded(text)
         if text is None:
-            raise reader.TableError("expert output is not text")
+            raise reader.TableError("output: null")
         if notation == "auto":
             cells, notation = reader.output_cells(text)
         else:
@@ -48,7 +50,8 @@ def _parser(notation: str, strict: bool):
 def parse_tables(df: DataFrame, id_cols: Sequence[str], payload: str, notation: str = "auto", strict: bool = True) -> DataFrame:
     """One row per cell; a payload that cannot be read gives one row with its error and no cell.
 
-    ``notation`` is ``html``, ``markdown`` or ``auto``; ``strict=False`` reads reference HTML.
+    ``notation`` is ``html``, ``markdown`` or ``auto``; ``strict=False`` reads reference HTML. The payload may be
+    text or binary; binary that is not UTF-8 fails its row.
     """
     parsed = df.select(*id_cols, _parser(notation, strict)(F.col(payload)).alias("_parsed"))
     rows = parsed.select(
@@ -114,21 +117,28 @@ def validate_cells(cells: DataFrame, key: str = "sample_id", allow_overlaps: boo
     return rules.unionByName(clashes)
 
 
+def _judged_cells(cells: DataFrame) -> DataFrame:
+    """Cells with their top-left ``_box`` and the ``_reason`` why a cell fails its table, else null."""
+    bad = "row_start < 0 OR column_start < 0 OR row_end <= row_start OR column_end <= column_start"
+    box = to_top_left(*[F.col(c) for c in ("xa", "ya", "xb", "yb", "origin", "image_height")])
+    # A box that is present but unusable fails its table, a missing box does not.
+    return cells.withColumn("_box", box).withColumn("_reason", F.expr(
+        f"CASE WHEN coalesce({bad}, row_start + row_end + column_start + column_end IS NULL) THEN 'invalid range' "
+        "WHEN xa IS NOT NULL AND _box IS NULL THEN 'unusable box' END"))
+
+
+def cell_failures(cells: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Tables that ``canonical_cells`` leaves out, one row each with the first reason in alphabetical order."""
+    return _judged_cells(cells).where("_reason IS NOT NULL").groupBy(key).agg(F.min("_reason").alias("reason"))
+
+
 def canonical_cells(cells: DataFrame, key: str = "sample_id", bounded: bool = False) -> DataFrame:
-    """Valid cells numbered in canonical order, text never null; tables with an invalid range are left out.
+    """Valid cells numbered in canonical order, text never null; ``cell_failures`` names the tables left out.
 
     Input boxes have corners ``xa, ya, xb, yb``, an ``origin`` and ``image_height``.
     """
-    bad = (
-        F.col("row_start").isNull() | F.col("row_end").isNull() | F.col("column_start").isNull()
-        | F.col("column_end").isNull() | (F.col("row_start") < 0) | (F.col("column_start") < 0)
-        | (F.col("row_end") <= F.col("row_start")) | (F.col("column_end") <= F.col("column_start"))
-    )
-    box = to_top_left(*[F.col(c) for c in ("xa", "ya", "xb", "yb", "origin", "image_height")])
-    # A box that is present but unusable fails its table, a missing box does not.
-    checked = cells.withColumn("_box", box).withColumn(
-        "_bad", F.coalesce(bad | (F.col("xa").isNotNull() & F.col("_box").isNull()), F.lit(True)))
-    failed = checked.where("_bad").select(key).distinct()
+    checked = _judged_cells(cells)
+    failed = checked.where("_reason IS NOT NULL").select(key).distinct()
     kept = checked.join(failed, key, "left_anti").select(
         key, "row_start", "row_end", "column_start", "column_end", F.coalesce("text", F.lit("")).alias("text"),
         *[F.col(f"_box.{side}").alias(side) for side in ("x0", "y0", "x1", "y1")],

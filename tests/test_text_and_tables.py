@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from secondpass.functions import grids, tables, text
-from secondpass.operators.tables import parse_tables
+from secondpass.operators.tables import canonical_cells, cell_failures, parse_tables
 from secondpass.sources import payloads, records
 
 
@@ -87,6 +87,82 @@ def test_failures_become_rows(spark):
     assert sum(r["row_start"] is not None for r in rows) == 4
 
 
+def test_binary_payloads(spark):
+    good = "<table><tr><td>\u00e9\u4e2d</td></tr></table>".encode()
+    df = spark.createDataFrame([("a", good), ("b", good[:-25] + b"\xff" + good[-25:]), ("c", b""), ("d", None)], "id string, p binary")
+    rows = {r["id"]: (r["status"], r["error"], r["text"]) for r in parse_tables(df, ["id"], "p").collect()}
+    assert rows == {"a": ("success", None, "\u00e9\u4e2d"), "b": ("parse_failed", "output: not UTF-8", None),
+                    "c": ("parse_failed", "output: empty", None), "d": ("parse_failed", "output: null", None)}
+
+
+@pytest.mark.parametrize("markup, error", [
+    ("<table><tr><tr>", "html: tr opened in place row"), ("</td>", "html: td closed in place before"), ("", "html: no table"),
+    ("<table><tr><td>a</td></tr></table></table>", "html: table closed in place after"), ("<table/>", "html: no rows"),
+    ("<tr/><table><tr><td>a</td></tr></table>z", "html: text outside the table"),
+    ("<table><tr><td colspan=99999999999>a</td></tr></table>", "span: beyond the last column"),
+])
+def test_html_reasons(markup, error):
+    with pytest.raises(tables.TableError, match=error):
+        tables.html_cells(markup)
+
+
+def test_lax_rows_and_ignored_tags():
+    lax = tables.html_cells("<tbody><table><thead><tr><td/></tr></thead> x <!--n--></table><tr>", strict=False)
+    assert [(c["row_start"], c["text"]) for c in lax] == [(0, "")]
+    with pytest.raises(tables.TableError, match="position without a cell"):
+        tables.html_cells("<table><tr/><tr><td>a</td></tr></table>", strict=False)
+    assert len(tables.html_cells("<table><tr/><tr><td>a</td></tr></table>")) == 1
+
+
+@pytest.mark.parametrize("markup, count, blocks, nested, malformed", [
+    ("", 0, [], False, False), ("<table/>", 1, ["<table/>"], False, False), ("</table><table>", 1, [], False, True),
+    ("<table><table/>a&amp;<br></table>", 1, ["<table><table/>a&amp;<br></table>"], True, False),
+    ("<table>a</table>b<table><table></table>", 2, ["<table>a</table>"], True, True),
+])
+def test_top_level_edges(markup, count, blocks, nested, malformed):
+    assert tables.top_level_tables(markup) == {"table_count": count, "blocks": blocks, "nested": nested, "malformed": malformed}
+
+
+def test_structure_fields(spark):
+    size = "<s:size xmlns:s='u'><s:width>4<b>9</b></s:width><height> 5 </height></s:size>"
+    box = "<bndbox><xmin>0</xmin><ymin>0</ymin><xmax>1</xmax><ymax>1</ymax></bndbox>"
+    table = f"<deep><object><name>table</name><part><name>row</name></part>{box}</object></deep>"
+    found = payloads.structure_of(f"<a>{table}{size}</a>".encode())
+    assert (found["width"], found["height"], len(found["objects"]), found["error"]) == (4.0, 5.0, 1, None)
+    reasons = {
+        f"<a>{size}{size}</a>": "size: 2 found, one wanted", f"<a>{size}<object>{box}</object></a>": "name: none found, one wanted",
+        f"<a>{size}<object><name>table</name>{box}{box}</object></a>": "bndbox: 2 found, one wanted",
+        "<a><size><width>x</width><height>1</height></size></a>": "width: not a number",
+        "<a><size><width>0</width><height>1</height></size></a>": "size: not positive", "<a>&nope;</a>": "xml: unreadable",
+        f"<a>{size}{table.replace('<xmin>0', '<xmin>1')}</a>": "bndbox: no area",
+        f"<a>{size}{table.replace('<xmin>0', '<xmin>')}</a>": "bndbox.xmin: not a finite number",
+    }
+    assert {xml: payloads.structure_of(xml)["error"] for xml in reasons} == reasons
+    rows = payloads.structure_rows(spark.createDataFrame([("a", f"<a>{size}{table}</a>"), ("b", None), ("c", f"<a>{size}</a>")], "id string, p string"), ["id"], "p")
+    assert sorted((r["id"], r["object_no"], r["reason"]) for r in rows.collect()) == [("a", 0, None), ("b", None, "xml: unreadable")]
+
+
+def test_counts_of_manifests(spark):
+    members = spark.createDataFrame([("d", "1", "i", True), ("d", "2", "i", False), ("f", "2", "i", True)], "cohort string, sample_id string, issuer string, spanning boolean")
+    wanted = spark.createDataFrame([("d", 2, None), ("f", 1, 0), ("r", 4, None)], "cohort string, members long, spanning long")
+    assert sorted(map(tuple, records.membership_problems(members, wanted).collect()), key=str) == [
+        ("duplicate member", None, "2", 2, 1), ("member count", "r", None, 0, 4), ("spanning count", "f", None, 1, 0)]
+    assert records.membership_problems(members.limit(0), wanted.limit(0)).count() == 0
+    reports = spark.createDataFrame([("a", "x"), ("b", "x")], "report_id string, reporting_entity string")
+    assert [tuple(r) for r in records.manifest_problems(reports, 2, 2).collect()] == [("entity count", 1, 2)]
+
+
+def test_failed_cell_tables_are_named(spark):
+    schema = ("sample_id string, row_start int, row_end int, column_start int, column_end int, text string, xa double, ya double, xb double, yb double, "
+              "origin string, image_height double, column_header boolean, row_header boolean, row_section boolean")
+    box = (0.0, 0.0, 1.0, 1.0, "TOPLEFT", 9.0, None, None, None)
+    rows = [("good", 0, 1, 0, 1, None, *box), ("range", 0, 0, 0, 1, "a", *box), ("null", 0, None, 0, 1, "a", *box),
+            ("box", 0, 1, 0, 1, "a", 0.0, 0.0, float("nan"), 1.0, "TOPLEFT", 9.0, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in cell_failures(df).collect()} == {("range", "invalid range"), ("null", "invalid range"), ("box", "unusable box")}
+    assert [r["sample_id"] for r in canonical_cells(df).collect()] == ["good"]
+
+
 @pytest.mark.parametrize("body, reason", [
     ("no marker", "no page markers"), ("== PAGE 1 == =\na\n== PAGE 1 == =\n", "page numbers not unique and positive"),
     ("== PAGE 2 == =\na\n== PAGE 1 == =\n", "page numbers not increasing"), ("== PAGE 0 == =\n", "page numbers not unique and positive"),

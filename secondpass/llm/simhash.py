@@ -1,12 +1,13 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 Fingerprints that differ in at most two of 64 bits differ in at most one bit of one
-of their two 32-bit halves. Each half is indexed under its 32 one-wildcard variants
-(one bit left out, the place of that bit in the key), so such a pair meets in an
-equality join. Keys met by two fingerprints are verified at once from minimum and
-maximum; keys with up to ``BUCKET`` members are verified inside the key.
+of their two 32-bit halves. The distinct values of both halves are counted and indexed
+under their 32 one-wildcard variants (one bit left out, the place of that bit in the key),
+so two values one bit apart meet in an equality join. A value held by several fingerprints,
+and two values that met, are a group; fingerprints are fetched for groups only and
+verified inside groups of up to ``BUCKET`` members, whose number is known beforehand.
 
-Keys with more members have an exact way of their own that never compares pairs:
+Larger groups have an exact way of their own that never compares pairs:
 their fingerprints are indexed under all two-wildcard variants of 64 bits. Any two
 that share one differ in at most two bits, and any two that differ in at most two
 bits share one, so linking each to the smallest of its key gives the components.
@@ -31,7 +32,8 @@ from secondpass.llm.common import drop_documents, id_and_text
 from secondpass.llm.graph import components
 from secondpass.session import pin
 
-BUCKET = 48  # members of a key that are verified pair by pair
+BUCKET = 48  # members of a group that are verified pair by pair
+SALTS = 16  # tasks that share the fingerprints of one half
 SEED = 42
 _CHUNK = 1 << 18  # shingles hashed at a time
 
@@ -83,22 +85,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(compute, "doc_id long, fp long" + "".join(f", {name} string" for name in extra))
 
 
-def _half_variants(batches):
-    """Rows (key, fp): for both halves and each of their bits, the half without that bit, tagged by its place."""
-    place = np.arange(32, dtype=np.uint64)
-    keep = ~(np.uint64(1) << place) & np.uint64(0xFFFFFFFF)
-    for batch in batches:
-        fps = np.asarray(batch.column(0)).view(np.uint64)
-        keys = [
-            (half[:, None] & keep) | ((place + np.uint64(32 * side)) << np.uint64(32))
-            for side, half in enumerate((fps & np.uint64(0xFFFFFFFF), fps >> np.uint64(32)))
-        ]
-        keys = np.concatenate(keys, axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, 64).view(np.int64))], ["key", "fp"]
-        )
-
-
 def _pair_variants(batches):
     """Rows (place, rest, fp): the fingerprint without two of its bits, for all 2016 pairs of bits."""
     first, second = np.triu_indices(64, 1)
@@ -131,28 +117,47 @@ def _verify(batches):
         )
 
 
+def _groups(counted: DataFrame) -> DataFrame:
+    """Groups (g, n, low, high) of fingerprints that share a half (low = high) or hold halves one bit apart.
+
+    ``counted`` holds the distinct halves (bit 32 tells the sides apart) and how many fingerprints have each.
+    A variant is one number: place and side, the half without the bit at that place, and lastly that bit.
+    """
+    variant = "(bigint(p) << 34) | ((half & ~(1L << p)) << 1) | ((half >> p) & 1L)"
+    variants = counted.selectExpr(f"explode(transform(sequence(0, 31), p -> {variant})) AS variant")
+    # Halves are distinct, so a key met twice holds both values of its bit.
+    met = variants.groupBy(F.shiftright("variant", 1).alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    pairs = met.selectExpr("g", "g & ((1L << 33) - 1) AS low", "1L << int(g >> 33) AS bit").selectExpr("g", "low", "low | bit AS high")
+    sides = pairs.select("g", F.explode(F.array("low", "high")).alias("half")).join(counted, "half")
+    near = sides.groupBy("g").agg(F.sum("n").alias("n"), F.min("half").alias("low"), F.max("half").alias("high"))
+    same = counted.where("n > 1").selectExpr("-1 - half AS g", "n", "half AS low", "half AS high")
+    return near.unionByName(same)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints that hold all components of the distance graph.
 
-    Up to keys of ``BUCKET`` members these are all pairs at two bits or fewer.
+    Up to groups of ``BUCKET`` members these are all pairs at two bits or fewer.
     """
-    variants = distinct.select("fp").mapInArrow(_half_variants, "key long, fp long")
-    keys = pin(
-        variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
-        .where("n > 1"), "variant-keys"
-    )
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
-    pairs = keys.where((F.col("n") == 2) & near).select("u", "v")
-    shared = variants.join(keys.where("n > 2").select("key", "n"), "key")
-    shared = pin(shared, "shared-keys")
-    few = shared.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("members"))
+    halves = distinct.selectExpr("fp", "explode(array(fp & 4294967295L, shiftrightunsigned(fp, 32) | 4294967296L)) AS half")
+    counted = pin(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")), "half-counts")
+    groups = pin(_groups(counted), "half-groups")
+    crowd = F.col("n") > BUCKET
+    wanted = groups.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("half"), crowd.alias("crowd"))
+    wanted = wanted.groupBy("half").agg(F.bool_or("crowd").alias("crowded"), F.bool_or(~F.col("crowd")).alias("few"))
+    # One half may belong to very many fingerprints: they are looked up by several tasks.
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = halves.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    met = pin(salted.join(wanted, ["half", "salt"]).drop("salt"), "grouped-fingerprints")
+    few = groups.where(~crowd).select("g", F.explode(F.array_distinct(F.array("low", "high"))).alias("half"))
+    few = few.join(met.where("few"), "half").groupBy("g").agg(F.collect_list("fp").alias("members"))
     inside = few.select("members").mapInArrow(_verify, "u long, v long")
-    crowded = shared.where(F.col("n") > BUCKET).select("fp").distinct()
+    crowded = met.where("crowded").select("fp").distinct()
     stars = crowded.mapInArrow(_pair_variants, "place int, rest long, fp long")
     stars = pin(stars, "star-variants") if crowded.take(1) else stars
     centres = stars.groupBy("place", "rest").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     around = stars.join(centres.drop("n"), ["place", "rest"]).select(F.col("fp").alias("u"), "v").where("u <> v")
-    return pairs.unionByName(inside).unionByName(around.distinct())
+    return inside.distinct().unionByName(around.distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:

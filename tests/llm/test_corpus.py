@@ -252,3 +252,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept.where(F.col("doc_id") >= 1000).count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("members", [2, 3, 48, 49, 300])
+def test_simhash_groups_of_any_size(spark, members):
+    """Components equal those of all pairs, for halves held by few and by many fingerprints, on both sides."""
+    rng = np.random.default_rng(members)
+    low, high = (int(x) for x in rng.integers(0, 2**32, 2))
+    fps = {0, 2**64 - 1, 1, 3, 7}
+    for i in range(members):
+        fps.add(low | int(rng.integers(0, 2**32)) << 32)  # one half in common, the other at chance
+        fps.add((high << 32) ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64))))
+        fps.add(int(rng.integers(0, 2**63)))
+    signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()
+
+    def roots(pairs):
+        root = {v: v for v in signed}
+        changed = True
+        while changed:
+            changed = False
+            for u, v in pairs:
+                least = min(root[u], root[v])
+                changed |= root[u] != least or root[v] != least
+                root[u] = root[v] = least
+        return root
+
+    wanted = simhash.links_of(sorted(fps))
+    assert roots([(r["u"], r["v"]) for r in found]) == roots(list(zip(wanted["u"].tolist(), wanted["v"].tolist())))
+    assert {(r["u"], r["v"]) for r in found} and all(bin((r["u"] ^ r["v"]) & (2**64 - 1)).count("1") <= 2 for r in found)

@@ -11,7 +11,7 @@ from secondpass.catalog.summaries import DEPLOYED, deployed_rows
 from secondpass.catalog.views import with_views
 from secondpass.functions.scalars import FEATURES
 from secondpass.operators import aggregates, allocation, learning, resampling, scoring, tables
-from secondpass.session import pin
+from secondpass.session import pin, scratch_path
 
 catalog = Catalog()
 TREES = {"max_depth": (2, 3), "learning_rate": (0.1,), "max_iter": (5,)}
@@ -129,6 +129,17 @@ def ridge_fit(spark, sf_dir):
     return rounded(learning.predict(model, s), 6)
 
 
+@catalog.add("stored_models", with_views("scores", """, b AS (SELECT sample_id, coalesce(primary_con, (SELECT median(primary_con) FROM scores)) AS x, pred_benefit AS y FROM scores),
+m AS (SELECT count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS c FROM b)
+SELECT sample_id, round(my + (x - mx) / sx * (n * c / sx) / (n + 1.0), 6) AS prediction FROM b, m"""))
+def stored_models(spark, sf_dir):
+    s = views.scores(spark, sf_dir)
+    folder = scratch_path(spark, "models")
+    for _ in range(2):  # the second call finds the model stored and reads it
+        models = learning.fit_final(s, ["primary_con"], "pred_benefit", "issuer", {"ridge": {"alpha": (1.0,)}}, 3, folder)
+    return rounded(learning.predict(models["ridge"], s), 6)
+
+
 @catalog.add("ridge_predict")
 def ridge_predict(spark, sf_dir):
     rows = training_rows(spark, sf_dir)

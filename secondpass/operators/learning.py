@@ -8,6 +8,7 @@ a 13 x 13 system reaches the driver.
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -15,7 +16,7 @@ from typing import Any
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secondpass.functions.scalars import FEATURES
@@ -246,6 +247,43 @@ def predict(model: RidgeModel | TreeModel, df: DataFrame, id_col: str = "sample_
     return model.predict(df).select(id_col, "prediction")
 
 
+_STORED = "family string, features array<string>, medians map<string,double>, coefficients array<double>, intercept double, params string"
+
+
+def save_model(spark: SparkSession, model: RidgeModel | TreeModel, path: str) -> None:
+    """Write a model into the folder ``path`` on shared storage, which must not hold one yet: one row, and the trees beside it."""
+    linear = isinstance(model, RidgeModel)
+    if not linear:
+        model.model.write().save(f"{path}/trees")
+    row = ("ridge" if linear else "trees", list(model.features), {k: float(v) for k, v in model.medians.items()},
+           model.coefficients if linear else None, model.intercept if linear else None, _key(model.params))
+    # The row comes last: without it there is no model, so a write that broke off is never read.
+    spark.createDataFrame([row], _STORED).coalesce(1).write.mode("errorifexists").parquet(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> RidgeModel | TreeModel:
+    """The model that ``save_model`` wrote; an incomplete or foreign folder is an error."""
+    rows = spark.read.schema(_STORED).parquet(f"{path}/model").collect()
+    if len(rows) != 1 or rows[0]["family"] not in FITTERS or set(rows[0]["features"]) != set(rows[0]["medians"]):
+        raise ValueError(f"no stored model in {path}")
+    row, params = rows[0], json.loads(rows[0]["params"])
+    if row["family"] == "trees":
+        return TreeModel(tuple(row["features"]), dict(row["medians"]), GBTRegressionModel.load(f"{path}/trees"), params)
+    if len(row["coefficients"] or ()) != len(row["features"]) or row["intercept"] is None:
+        raise ValueError(f"stored model in {path} lacks coefficients")
+    return RidgeModel(tuple(row["features"]), dict(row["medians"]), list(row["coefficients"]), row["intercept"], params)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a complete model lies in ``path``."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/model/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def load_models(spark: SparkSession, models_dir: str, names: Sequence[str]) -> dict[str, Any]:
+    return {name: load_model(spark, f"{models_dir}/{name}") for name in names}
+
+
 # ---------------------------------------------------------------- validation
 
 def fold_models(df: DataFrame, features: Sequence[str], target: str, family: str, params: Sequence[dict[str, Any]],
@@ -265,8 +303,6 @@ def fold_models(df: DataFrame, features: Sequence[str], target: str, family: str
 
 def _key(params: dict[str, Any]) -> str:
     """Canonical text of parameters, also the tie-break between settings."""
-    import json
-
     return json.dumps(params, sort_keys=True, separators=(",", ":"))
 
 
@@ -316,12 +352,26 @@ def nested_predictions(df: DataFrame, features: Sequence[str], target: str, grou
 
 
 def fit_final(df: DataFrame, features: Sequence[str], target: str, group: str,
-              grids: dict[str, dict[str, Sequence[Any]]], folds: int = 4) -> dict[str, Any]:
-    """Tuned models of every family on all rows."""
+              grids: dict[str, dict[str, Sequence[Any]]], folds: int = 4, models_dir: str | None = None) -> dict[str, Any]:
+    """Tuned models of every family on all rows.
+
+    With ``models_dir`` they are stored there by family. A model already stored is used in
+    place of a new fit, if it has the features and parameters that tuning chose; else
+    it is an error, as results made with it would no longer be those of the data.
+    """
+    spark = df.sparkSession
     fitted = {}
     for family, grid in grids.items():
         chosen, _ = tune(df, features, target, group, family, grid, folds)
+        path = f"{models_dir}/{family}"
+        if models_dir is not None and stored(spark, path):
+            fitted[family] = load_model(spark, path)
+            if fitted[family].features != tuple(features) or fitted[family].params != chosen:
+                raise ValueError(f"stored model in {path} has other features or parameters than tuning chose")
+            continue
         fitted[family] = FITTERS[family](df, features, target, chosen)
+        if models_dir is not None:
+            save_model(spark, fitted[family], path)
     return fitted
 
 

@@ -3,7 +3,7 @@
 Intermediate tables that must be read back exactly as they were written (rank
 positions, prefix sums) go to the folder the cluster names in
 ``spark.checkpoint.dir``.  A private temporary folder is used only where that
-setting is missing, which is the case in local tests.
+setting is missing and the session is local; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-secondpass-")

@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from secondpass.operators import allocation, learning, resampling, routing, spatial
@@ -222,3 +223,39 @@ def test_risk_midrank(spark):
     population = spark.createDataFrame([("r", 1.0), ("r", 2.0), ("r", 2.0), ("r", 3.0)], "risk string, value double")
     got = {r["value"]: r["percentile"] for r in routing.midrank_percentile(values, population, ["risk"]).collect()}
     assert got == {0.0: 0.0, 2.0: 0.5, 9.0: 1.0}
+
+
+def test_models_are_stored_and_checked(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(str(i), str(i % 5), float(i % 7), None if i % 11 == 0 else float(i % 3), 0.1 * (i % 7) - 0.3 * (i % 3)) for i in range(200)],
+        "sample_id string, issuer string, a double, b double, benefit double")
+    grids = {"ridge": {"alpha": (0.1, 10.0)}, "trees": {"max_depth": (2,), "learning_rate": (0.1,), "max_iter": (3,)}}
+    folder = str(tmp_path / "models")
+    first = learning.fit_final(rows, ["a", "b"], "benefit", "issuer", grids, 2, folder)
+    again = learning.fit_final(rows, ["a", "b"], "benefit", "issuer", grids, 2, folder)
+    loaded = learning.load_models(spark, folder, ["ridge", "trees"])
+    for family in grids:
+        want = {r["sample_id"]: r["prediction"] for r in learning.predict(first[family], rows).collect()}
+        for model in (again[family], loaded[family]):
+            assert model.params == first[family].params
+            assert {r["sample_id"]: r["prediction"] for r in learning.predict(model, rows).collect()} == want
+    with pytest.raises(ValueError, match="other features or parameters"):
+        learning.fit_final(rows, ["a"], "benefit", "issuer", {"ridge": grids["ridge"]}, 2, folder)
+    with pytest.raises(Exception, match="(?i)exist"):
+        learning.save_model(spark, first["ridge"], f"{folder}/ridge")
+    assert not learning.stored(spark, f"{folder}/nothing")
+
+
+def test_a_cluster_without_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from secondpass import session
+
+    def at(master, configured=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=SimpleNamespace(master=master, applicationId="none"))
+
+    monkeypatch.setattr(session, "_FALLBACK", {"none": "/tmp/none"})
+    assert session.shared_dir(at("yarn", "hdfs:///shared")) == "hdfs:///shared" and session.shared_dir(at("local[2]")) == "/tmp/none"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(at(master))

@@ -15,7 +15,6 @@ from secondpass.session import pin, scratch_path
 
 catalog = Catalog()
 TREES = {"max_depth": (2, 3), "learning_rate": (0.1,), "max_iter": (5,)}
-FAST = {"max_depth": 3, "learning_rate": 0.1, "max_iter": 5}
 
 
 # ---------------------------------------------------------------- resampling
@@ -149,13 +148,13 @@ def ridge_predict(spark, sf_dir):
 @catalog.add("gbt_fit")
 def gbt_fit(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
-    return rounded(learning.predict(learning.fit_trees(rows, FEATURES, "benefit", FAST), rows))
+    return rounded(learning.predict(learning.fit_trees(rows, FEATURES, "benefit", learning.DIFFICULTY_PARAMS), rows))
 
 
 @catalog.add("fit_difficulty")
 def fit_difficulty(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
-    return rounded(learning.predict(learning.fit_difficulty(rows, params=FAST), rows))
+    return rounded(learning.predict(learning.fit_difficulty(rows), rows))
 
 
 @catalog.add("tune")

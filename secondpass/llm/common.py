@@ -6,10 +6,12 @@ private names at once, so further columns of the input never clash with theirs.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from secondpass.session import pin
+from secondpass.session import pin, scratch_path
 
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
 
@@ -58,6 +60,20 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str = "rank
     )
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write ``df`` once to shared storage in buckets of ``key``, as many as a shuffle has partitions.
+
+    Joins on ``key`` then leave its rows where they are and shuffle the other side to them.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = os.path.basename(path).replace("-", "_")
+    placed = df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet")
+    placed.option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -3,20 +3,24 @@
 Every suffix that starts a string of ``LENGTH`` bytes takes part, but most are settled
 before they are sorted. Inside any such string the ``GRAM``-byte gram of smallest hash is
 its anchor; equal strings have equal anchors at equal places. Neighbouring strings with
-one anchor form a record. A record whose anchor is nowhere else is unique. Records that are
+one anchor form a record. Records are put in the order of their anchors: sampled splitters
+range-partition them, buckets are sorted, and neighbours are compared inside a bucket and
+across boundaries, so one anchor may fill many buckets. A record whose anchor is nowhere
+else is unique and goes no further. Of the others, those that are
 equal as a whole are one class; they are repeated, and are sorted once however many
 there are. Classes that share an anchor with another class are cut again, into pieces of
 at most ``STEP`` strings by their distance to the anchor. Equal pieces are one class as
 before. The strings of a piece all hold its core, so a piece whose core is nowhere else
 is unique. Only the suffixes of pieces that share a core with another class are written
-as rows: sampled splitters range-partition them by their leading eight bytes (then by a
-128-bit fingerprint of all ``LENGTH`` bytes), every bucket is sorted, equal neighbours
-are repeated, and the first and last row of every bucket are compared across the
-boundaries, so a string may fill many buckets.
+as rows and ordered in the same way, by their leading eight bytes (then by a
+128-bit fingerprint of all ``LENGTH`` bytes); equal neighbours are repeated.
 
 The sort inside a bucket is Spark's, which spills, in place of a multikey quicksort;
 beyond its leading bytes a suffix is compared by fingerprint, not by its text.
 
+Texts are moved once, into a table bucketed by row number; every later step shuffles only
+what it knows about them to those buckets.
+
 Texts with copies are removed as a whole if they have ``LENGTH`` bytes; one of each takes
 part. Defined results: null texts are empty; shorter texts lose nothing; rows equal in
 id and text are copies; an empty table gives no rows.
@@ -29,10 +33,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from secondpass.llm.common import id_and_text
+from secondpass.llm.common import bucketed, id_and_text
 from secondpass.session import pin
 
 LENGTH, GRAM, STEP = 200, 32, 16
@@ -67,8 +71,11 @@ def fingerprints(raw: np.ndarray, seed: int) -> np.ndarray:
     return _mix((g[128][:n] * odd + g[64][128:128 + n]) * odd + g[8][192:192 + n])
 
 
-def records(raw: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(anchor, first string, last string, digest) of all records of a text."""
+def records(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first string and shape of all records of a text.
+
+    A shape is 256 times the distance from the first string to the anchor, plus the number of further strings.
+    """
     out = []
     total = len(raw) - LENGTH + 1
     for low in range(0, max(0, total), _BLOCK):
@@ -83,31 +90,42 @@ def records(raw: bytes) -> list[tuple[int, int, int, bytes]]:
         least = np.minimum(least[:n], least[width - step:width - step + n])
         anchor = (least & np.uint64(_ONES)).astype(np.int64)
         firsts = np.flatnonzero(np.diff(anchor, prepend=-1))
-        lasts = np.append(firsts[1:], n) - 1
-        values = h[anchor[firsts]].view(np.int64).tolist()
-        for value, first, last, at in zip(values, firsts.tolist(), lasts.tolist(), anchor[firsts].tolist()):
-            digest = hashlib.blake2b(raw[low + first:low + last + LENGTH], digest_size=16, salt=(at - first).to_bytes(2, "little"))
-            out.append((value, low + first, low + last, digest.digest()))
-    return out
+        at = anchor[firsts]
+        shape = (at - firsts) * 256 + np.diff(firsts, append=n) - 1
+        out.append((h[at].view(np.int64), low + firsts, shape.astype(np.int32)))
+    return tuple(np.concatenate(column) for column in zip(*out))
 
 
 def _records(batches):
     for batch in batches:
-        columns = ([], [], [], [], [])
-        for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for row in records(text.as_py().encode()):
-                for column, value in zip(columns, (number, *row)):
+        texts = batch.column(1).cast(pa.binary())
+        for low in range(0, batch.num_rows, 512):
+            found = [records(text.as_py()) for text in texts[low:low + 512]]
+            numbers = np.repeat(batch.column(0)[low:low + 512].to_numpy(), [len(f[0]) for f in found])
+            columns = [pa.array(numbers)] + [pa.array(np.concatenate(column)) for column in zip(*found)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "anchor", "first", "shape"])
+
+
+def _digests(batches):
+    """Records (first, shape, anchor) listed with a text, with a digest of all their bytes and the place of the anchor."""
+    names = ["row", "anchor", "first", "shape", "digest"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for batch in batches:
+        columns = [[] for _ in names]
+        for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
+            raw = memoryview(text.as_py())
+            for r in listed:
+                first, shape = r["first"], r["shape"]
+                part = raw[first:first + shape % 256 + LENGTH]
+                digest = hashlib.blake2b(part, digest_size=16, salt=(shape // 256).to_bytes(2, "little")).digest()
+                for column, value in zip(columns, (number, r["anchor"], first, shape, digest)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "anchor", "first", "last", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def pieces(part: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(core, first string, last string, digest) of all pieces of one record, given its bytes."""
+def pieces(part: bytes, anchor: int) -> list[tuple[int, int, int, bytes]]:
+    """(core, first string, last string, digest) of all pieces of one record, given its bytes and its anchor's place."""
     strings = len(part) - LENGTH + 1
-    h = grams(np.frombuffer(part, np.uint8), GRAM)[GRAM][:LENGTH - GRAM + 1]
-    anchor = int(((h & ~np.uint64(_ONES)) | np.arange(len(h), dtype=np.uint64)).argmin())
     out, first = [], 0
     while first < strings:
         block = (anchor - first) // STEP  # distances from block * STEP on, the nearest string last
@@ -122,7 +140,7 @@ def pieces(part: bytes) -> list[tuple[int, int, int, bytes]]:
 
 
 def _pieces(batches):
-    """Pieces of the records (first, last, single) listed with a text."""
+    """Pieces of the records (first, shape, single) listed with a text."""
     names = ["row", "core", "first", "last", "digest", "single"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
     for batch in batches:
@@ -130,8 +148,8 @@ def _pieces(batches):
         for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode()
             for r in listed:
-                at = r["first"]
-                for core, first, last, digest in pieces(raw[at:r["last"] + LENGTH]):
+                at, shape = r["first"], r["shape"]
+                for core, first, last, digest in pieces(raw[at:at + shape % 256 + LENGTH], shape // 256):
                     for column, value in zip(columns, (number, core, at + first, at + last, digest, r["single"])):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -166,45 +184,53 @@ def _joined(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
 _ORDER = "lead long, d1 long, d2 long, row long, pos long, single boolean"
 
 
-def _neighbours(batches):
-    """Inside a sorted bucket: rows equal to a neighbour (edge false), and its first and last row (edge true)."""
-    bucket = TaskContext.get().partitionId()
-    held = None
-
-    def out(table: pa.Table, edge: bool):
-        n = table.num_rows
-        table = table.append_column("edge", pa.array([edge] * n, pa.bool_())).append_column("bucket", pa.array([bucket] * n, pa.int32()))
-        return table.combine_chunks().to_batches()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is None:
-            yield from out(table.slice(0, 1), True)
-        else:
-            table = pa.concat_tables([held, table])
-        keys = np.stack([table.column(c).to_numpy() for c in ("lead", "d1", "d2")])
-        same = (keys[:, 1:] == keys[:, :-1]).all(0)
-        # The row held from the batch before may come out twice; repeated rows are made distinct later.
-        again = np.append(same, False) | np.insert(same, 0, False)
-        yield from out(table.filter(pa.array(again)), False)
-        held = table.slice(table.num_rows - 1, 1)
-    if held is not None:
-        yield from out(held, True)
-
-
-def repeated(order: DataFrame) -> DataFrame:
-    """(row, pos) of the suffixes of single classes whose string is also elsewhere in the order."""
+def _neighbours(keys: list[str]):
+    """Rows of a sorted bucket that equal a neighbour in their keys (again), and its first and last row (edge)."""
+
+    def marked(table: pa.Table, again: np.ndarray, edge: np.ndarray, bucket: int):
+        table = table.append_column("again", pa.array(again)).append_column("edge", pa.array(edge))
+        table = table.append_column("bucket", pa.array(np.full(len(again), bucket, np.int32)))
+        return table.filter(pa.array(again | edge)).combine_chunks().to_batches()
+
+    def run(batches):
+        bucket = TaskContext.get().partitionId()
+        held = held_again = first = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            values = np.stack([table.column(c).to_numpy() for c in keys])
+            same = (values[:, 1:] == values[:, :-1]).all(0)
+            again = np.append(same, False) | np.insert(same, 0, False)
+            edge = np.zeros(len(again), bool)
+            if held is None:
+                first = True
+            else:
+                again[0] |= held_again
+            edge[0] = first
+            if len(again) > 1:
+                yield from marked(table.slice(0, len(again) - 1), again[:-1], edge[:-1], bucket)
+                first = False
+            held, held_again = table.slice(len(again) - 1, 1), again[-1]
+        if held is not None:
+            yield from marked(held, np.array([held_again]), np.array([True]), bucket)
+
+    return run
+
+
+def repeated(order: DataFrame, keys: list[str], ties: list[str], label: str) -> DataFrame:
+    """Rows of ``order`` whose integer keys another row has too; ``ties`` split a key that many rows have."""
     buckets = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["lead", "d1", "d2", "row", "pos"]
-    placed = order.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
-    seen = pin(placed.mapInArrow(_neighbours, f"{_ORDER}, edge boolean, bucket int"), "neighbours")
-    # Two rows per bucket: small, whatever the input.
+    placed = order.repartitionByRange(buckets, *keys, *ties).sortWithinPartitions(*keys, *ties)
+    kinds = ", ".join(f"{c} {k}" for c, k in order.dtypes)
+    seen = pin(placed.mapInArrow(_neighbours(keys), f"{kinds}, again boolean, edge boolean, bucket int"), label)
+    # At most two rows per bucket: small, whatever the input.
     edges = seen.where("edge")
-    across = edges.groupBy("lead", "d1", "d2").agg(F.count_distinct("bucket").alias("n")).where("n > 1").drop("n")
-    met = edges.join(across, ["lead", "d1", "d2"], "left_semi")
-    return seen.where("NOT edge").unionByName(met).where("single").select("row", "pos").distinct()
+    across = edges.groupBy(*keys).agg(F.count_distinct("bucket").alias("n")).where("n > 1").drop("n")
+    met = edges.where("NOT again").join(across, keys, "left_semi")
+    return seen.where("again").select(*order.columns).unionByName(met.select(*order.columns))
 
 
 def _cut(batches):
@@ -232,66 +258,77 @@ def _cut(batches):
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows = id_and_text(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    rows = rows.withColumn("size", F.octet_length("text").cast("long"))
-    groups = pin(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "texts")
+    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("size", F.octet_length("text").cast("long"))
+    texts = bucketed(rows.select("row", "doc_id", "size", "sha", "text"), "row", "texts")
+    narrow = texts.select("row", "doc_id", "size", "sha")
+    groups = pin(narrow.groupBy("sha").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.first("size").alias("size")), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    # Texts with a thousandth of all rows: at most a thousand, so they may be broadcast.
-    hot = F.broadcast(pin(groups.where(F.col("n") * 1000 >= max(total, 2000)), "hot-texts"))
-    cold = rows.join(hot.select("sha"), "sha", "left_anti").join(groups, "sha")
-    others = rows.join(hot, "sha")
-    least = (F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("least"))
-    names = ["sha", "doc_id", "n", "text"]
-    # Copies may be equal in their ids too, so one is chosen by its text.
-    single = cold.where("n = 1").select(*names)
-    several = cold.where("n > 1").unionByName(others).where(least).select(*names).dropDuplicates(["sha"])
-    one = single.unionByName(several).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "text")
-    one = pin(one, "distinct-texts")
-    long = one.where(F.octet_length("text") >= LENGTH).select("row", "text")
-
-    found = pin(long.mapInArrow(_records, "row long, anchor long, first long, last long, digest binary"), "records")
+    long = groups.where(F.col("size") >= LENGTH).select("row")
+    long = texts.select("row", "text").join(long, "row", "left_semi")
+
+    found = pin(long.mapInArrow(_records, "row long, anchor long, first long, shape int"), "records")
+    met = repeated(found, ["anchor"], ["row", "first"], "met-records")
+    found = pin(_listed(texts, met, "first", "shape", "anchor").mapInArrow(
+        _digests, "row long, anchor long, first long, shape int, digest binary"), "digests")
     classes = found.groupBy("anchor", "digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("at"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "shape")).alias("at"))
     classes = pin(classes, "record-classes")
     cut_again = _of_shared(classes, "anchor").select("at.*", (F.col("n") == 1).alias("single"))
-    parts = pin(_listed(long, cut_again).mapInArrow(
+    parts = pin(_listed(texts, cut_again, "first", "shape", "single").mapInArrow(
         _pieces, "row long, core long, first long, last long, digest binary, single boolean"), "pieces")
     alike = parts.groupBy("core", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last", "single")).alias("at"))
     alike = pin(alike, "piece-classes")
     sorted_again = _of_shared(alike, "core").select(
         "at.row", "at.first", "at.last", ((F.col("n") == 1) & F.col("at.single")).alias("single"))
-    order = pin(_listed(long, sorted_again).mapInArrow(_suffixes, _ORDER), "suffixes")
-    strings = repeated(order).select("row", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
+    order = pin(_listed(texts, sorted_again, "first", "last", "single").mapInArrow(_suffixes, _ORDER), "suffixes")
+    strings = repeated(order, ["lead", "d1", "d2"], ["row", "pos"], "met-suffixes").where("single")
 
     # Records with copies are known to be repeated as a whole, so only the others are looked up here.
-    met = _members(parts.where("single"), alike.where("n > 1"), "core", total)
     whole = _members(found, classes.where("n > 1"), "anchor", total)
-    stretches = strings
-    for known in (whole, met):
-        stretches = stretches.unionByName(known.select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
-    per_text = stretches.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
+    whole = whole.select("row", "first", (F.col("first") + F.col("shape") % 256).alias("last"))
+    part = _members(parts.where("single"), alike.where("n > 1"), "core", total)
+    known = whole.unionByName(part.select("row", "first", "last"))
+    known = known.unionByName(strings.select("row", F.col("pos").alias("first"), F.col("pos").alias("last")))
+    per_text = _runs(known).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
 
-    lone = one.where("n = 1").join(per_text, "row", "left").select("doc_id", "text", "stretches").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    twice = groups.where("n > 1")
+    # Texts with a thousandth of all rows: at most a thousand, so they may be broadcast.
+    frequent = F.col("n") * 1000 >= max(total, 2000)
+    hot = F.broadcast(pin(twice.where(frequent).select("sha"), "hot-texts"))
+    rest = narrow.join(hot, "sha", "left_anti").join(twice.where(~frequent).select("sha"), "sha", "left_semi")
     gone = F.col("size") >= LENGTH
-    copies = cold.where("n > 1").unionByName(others).select(
+    copies = narrow.join(hot, "sha", "left_semi").unionByName(rest.select(*narrow.columns)).select(
         "doc_id", F.col("size").alias("n_bytes"), F.when(gone, F.col("size")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
         F.when(gone, F.lit(_EMPTY)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"))
+    lone = groups.where("n = 1").select("row").join(per_text, "row", "left")
+    lone = texts.join(lone, "row").select("doc_id", "text", "stretches").mapInArrow(
+        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return lone.unionByName(copies)
 
 
+def _runs(known: DataFrame) -> DataFrame:
+    """Covered stretches [start, stop) of every text, those that touch or overlap made one."""
+    before = Window.partitionBy("row").orderBy("first", "last")  # bounded by the text
+    reach = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("first") > reach + LENGTH, F.lit(True)).cast("int")
+    runs = known.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "run").agg(F.min("first").alias("start"), (F.max("last") + LENGTH).alias("stop"))
+
+
 def _of_shared(classes: DataFrame, key: str) -> DataFrame:
     """Classes whose ``key`` another class has too."""
     shared = classes.groupBy(key).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     return classes.join(shared, key, "left_semi")
 
 
-def _listed(texts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """row, text and the list of its stretches (first, last, single); a list is bounded by its text."""
-    listed = stretches.groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("listed"))
-    return texts.join(listed, "row").select("row", "text", "listed")
+def _listed(texts: DataFrame, stretches: DataFrame, *columns: str) -> DataFrame:
+    """row, text and the list of its stretches with the named columns; a list is bounded by its text."""
+    listed = stretches.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("listed"))
+    return texts.select("row", "text").join(listed, "row")
 
 
 def _members(rows: DataFrame, twice: DataFrame, key: str, total: int) -> DataFrame:

@@ -42,6 +42,22 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_long_texts_and_null_ids(spark):
+    passage = prose(3, 80)[:300]
+    noise = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 1_300_000)))
+    texts = [noise[:1_048_000] + passage + noise[1_048_000:] + passage, "v" * 3000, passage[20:260], "v" * 210, prose(5, 60)]
+    docs = spark.createDataFrame([(None if i in (2, 3) else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs).collect()]
+    assert sorted(got) == sorted(suffix_dedup.brute_force(texts))
+
+
+def test_repeated_keys_fill_many_buckets(spark):
+    rows = [(k, i) for k, n in ((1, 1), (2, 500), (3, 2), (4, 1), (5, 1)) for i in range(n)]
+    order = spark.createDataFrame(rows, "key long, tie long").repartition(5)
+    got = suffix_dedup.repeated(order, ["key"], ["tie"], "met").collect()
+    assert sorted(tuple(r) for r in got) == sorted(r for r in rows if r[0] in (2, 3))
+
+
 def _luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):

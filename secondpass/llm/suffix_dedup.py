@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from secondpass.session import pin
 LENGTH, GRAM, STEP = 200, 32, 16
 _BLOCK = (1 << 20) - 1024  # strings looked at together; places inside a block take 20 bits
 _ONES = (1 << 20) - 1
-_ROWS = 50_000  # rows written at a time
+_BYTES = 1 << 20  # bytes of pieces hashed together
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -53,6 +54,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def grams(raw: np.ndarray, width: int, seed: int = 0) -> dict[int, np.ndarray]:
     """Hashes of all byte strings of 1, 2, 4, ... ``width`` bytes."""
     h = _mix(raw.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 + seed))
@@ -64,6 +68,15 @@ def grams(raw: np.ndarray, width: int, seed: int = 0) -> dict[int, np.ndarray]:
     return out
 
 
+def anchor_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of ``GRAM`` bytes; cheaper than ``grams``, as equal hashes of unlike strings only cost time."""
+    h, step = _LETTERS[raw], 1
+    while step < GRAM:
+        h = h[:-step] * (np.uint64(0xA0761D6478BD642F) + np.uint64(2 * step)) + h[step:]
+        step *= 2
+    return _mix(h)
+
+
 def fingerprints(raw: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of all strings of ``LENGTH`` = 128 + 64 + 8 bytes."""
     g, n = grams(raw, 128, seed), len(raw) - LENGTH + 1
@@ -81,7 +94,7 @@ def records(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for low in range(0, max(0, total), _BLOCK):
         n = min(_BLOCK, total - low)
         part = np.frombuffer(raw, np.uint8, n + LENGTH - 1, low)
-        h = grams(part, GRAM)[GRAM]
+        h = anchor_hashes(part)
         least = (h & ~np.uint64(_ONES)) | np.arange(len(h), dtype=np.uint64)
         width, step = LENGTH - GRAM + 1, 1
         while step * 2 <= width:
@@ -106,21 +119,34 @@ def _records(batches):
             yield pa.RecordBatch.from_arrays(columns, ["row", "anchor", "first", "shape"])
 
 
+def _with_lists(batch):
+    """Row number, bytes and, for each of its stretches, a tuple of the listed fields; structs are read by column."""
+    listed = batch.column(2)
+    fields = listed.flatten().flatten()
+    stretches = list(zip(*[f.to_pylist() for f in fields]))
+    ends = np.cumsum(pc.list_value_length(listed).to_numpy()).tolist()
+    for number, text, low, high in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), [0, *ends], ends):
+        yield number, text.as_py(), stretches[low:high]
+
+
+def _table(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
 def _digests(batches):
     """Records (first, shape, anchor) listed with a text, with a digest of all their bytes and the place of the anchor."""
     names = ["row", "anchor", "first", "shape", "digest"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    salts = [i.to_bytes(2, "little") for i in range(LENGTH)]
     for batch in batches:
-        columns = [[] for _ in names]
-        for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-            raw = memoryview(text.as_py())
-            for r in listed:
-                first, shape = r["first"], r["shape"]
-                part = raw[first:first + shape % 256 + LENGTH]
-                digest = hashlib.blake2b(part, digest_size=16, salt=(shape // 256).to_bytes(2, "little")).digest()
-                for column, value in zip(columns, (number, r["anchor"], first, shape, digest)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        rows = []
+        for number, raw, listed in _with_lists(batch):
+            view = memoryview(raw)
+            for first, shape, anchor in listed:
+                part = view[first:first + (shape & 255) + LENGTH]
+                rows.append((number, anchor, first, shape, hashlib.blake2b(part, digest_size=16, salt=salts[shape >> 8]).digest()))
+        yield _table(rows, names, kinds)
 
 
 def pieces(part: bytes, anchor: int) -> list[tuple[int, int, int, bytes]]:
@@ -144,41 +170,45 @@ def _pieces(batches):
     names = ["row", "core", "first", "last", "digest", "single"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
     for batch in batches:
-        columns = [[] for _ in names]
-        for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            raw = text.as_py().encode()
-            for r in listed:
-                at, shape = r["first"], r["shape"]
-                for core, first, last, digest in pieces(raw[at:at + shape % 256 + LENGTH], shape // 256):
-                    for column, value in zip(columns, (number, core, at + first, at + last, digest, r["single"])):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        rows = []
+        for number, raw, listed in _with_lists(batch):
+            for at, shape, single in listed:
+                for core, first, last, digest in pieces(raw[at:at + (shape & 255) + LENGTH], shape >> 8):
+                    rows.append((number, core, at + first, at + last, digest, single))
+        yield _table(rows, names, kinds)
 
 
 def _suffixes(batches):
-    """Rows of the suffix order for the pieces (first, last, single) listed with a text."""
-    names = ["lead", "d1", "d2", "row", "pos", "single"]
+    """Rows of the suffix order for the pieces (first, last, single) listed with a text.
+
+    The bytes of many pieces are hashed together; strings that run from one piece into the next are left out.
+    """
+    parts, held = [], 0
     for batch in batches:
-        parts, held = [], 0
-        for number, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            raw = text.as_py().encode()
-            for r in listed:
-                part = np.frombuffer(raw, np.uint8, r["last"] - r["first"] + LENGTH, r["first"])
-                n = r["last"] - r["first"] + 1
-                lead = np.lib.stride_tricks.sliding_window_view(part, 8)[:n].copy().view(">u8").ravel()
-                lead = (lead ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
-                parts.append((lead, fingerprints(part, 1).view(np.int64), fingerprints(part, 2).view(np.int64),
-                              np.full(n, number), np.arange(r["first"], r["last"] + 1), np.full(n, r["single"])))
-                held += n
-                if held >= _ROWS:
-                    yield _joined(parts, names)
+        for number, raw, listed in _with_lists(batch):
+            for first, last, single in listed:
+                parts.append((number, first, last - first + 1, single, raw[first:last + LENGTH]))
+                held += len(parts[-1][-1])
+                if held >= _BYTES:
+                    yield _order_rows(parts)
                     parts, held = [], 0
-        if parts:
-            yield _joined(parts, names)
-
-
-def _joined(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*parts)], names)
+    if parts:
+        yield _order_rows(parts)
+
+
+def _order_rows(parts: list[tuple]) -> pa.RecordBatch:
+    numbers, firsts, counts, singles, raws = zip(*parts)
+    raw = np.frombuffer(b"".join(raws), np.uint8)
+    counts = np.array(counts)
+    begins = np.cumsum([0, *map(len, raws[:-1])])
+    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(begins, counts) + inside
+    lead = np.lib.stride_tricks.sliding_window_view(raw, 8)[at].view(">u8").ravel()
+    lead = (lead ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
+    columns = [lead, *[fingerprints(raw, seed)[at].view(np.int64) for seed in (1, 2)],
+               np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(firsts, np.int64), counts) + inside,
+               np.repeat(np.array(singles, bool), counts)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lead", "d1", "d2", "row", "pos", "single"])
 
 
 _ORDER = "lead long, d1 long, d2 long, row long, pos long, single boolean"

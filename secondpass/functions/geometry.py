@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from secondpass.functions.scalars import finite_or_null
-
 SIDES = ("x0", "y0", "x1", "y1")
 
 
 def box_struct(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Struct of the four sides, or null unless all are finite and the area is positive."""
-    sides = [finite_or_null(side) for side in (x0, y0, x1, y1)]
+    # A side is written out few times: longer code than this is not compiled by the JVM and runs many times slower.
+    sides = [side.cast("double") for side in (x0, y0, x1, y1)]
     valid = (sides[0] < sides[2]) & (sides[1] < sides[3])
+    for side in sides:
+        valid = valid & (F.abs(side) < F.lit(float("inf")))  # NaN is above infinity
     return F.when(valid, F.struct(*[side.alias(name) for side, name in zip(sides, SIDES)]))
 
 
@@ -25,17 +26,16 @@ def cell_bbox(corners: Column, named: Column) -> Column:
 
 
 def _origin(origin: Column) -> Column:
-    return F.regexp_replace(F.lower(origin), "[_-]", "")
+    return F.translate(F.lower(origin), "_-", "")
 
 
 def to_top_left(x_a: Column, y_a: Column, x_b: Column, y_b: Column, origin: Column, height: Column) -> Column:
     """Sorted corners with y growing downwards; null for an unknown origin or an empty box."""
     kind = _origin(origin)
-    flip = kind == "bottomleft"
-    first = F.when(flip, height - y_a).otherwise(y_a)
-    second = F.when(flip, height - y_b).otherwise(y_b)
-    box = box_struct(F.least(x_a, x_b), F.least(first, second), F.greatest(x_a, x_b), F.greatest(first, second))
-    return F.when(kind.isin("topleft", "bottomleft"), box)
+    low, high = F.least(y_a, y_b), F.greatest(y_a, y_b)
+    left, right = F.least(x_a, x_b), F.greatest(x_a, x_b)
+    return F.when(kind == "topleft", box_struct(left, low, right, high)).when(
+        kind == "bottomleft", box_struct(left, height - high, right, height - low))
 
 
 def crop_box(box: Column, page_width: Column, page_height: Column, width: Column, height: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from secondpass.functions import geometry
 from secondpass.operators import spatial, tables
+from secondpass.session import pin
 
 
 def plan(df, mode="formatted"):
@@ -48,9 +49,9 @@ def test_bounded_attach_text_equals_tiled_one(spark):
 
 
 def test_merged_spans_are_not_broadcast(spark):
-    objects = spark.sql("""SELECT concat('s', id) AS sample_id, o.* FROM range(20), VALUES
+    objects = pin(spark.sql("""SELECT concat('s', id) AS sample_id, o.* FROM range(20), VALUES
       (0, 'table', 0D, 0D, 190D, 18D), (1, 'table row', 0D, 0D, 190D, 18D), (2, 'table column', 0D, 0D, 90D, 18D),
-      (3, 'table column', 100D, 0D, 190D, 18D), (4, 'table spanning cell', 0D, 0D, 190D, 18D) AS o(object_no, category, x0, y0, x1, y1)""")
+      (3, 'table column', 100D, 0D, 190D, 18D), (4, 'table spanning cell', 0D, 0D, 190D, 18D) AS o(object_no, category, x0, y0, x1, y1)"""))
     grid, _ = spatial.base_grid(objects, bounded=True)
     merged, problems = spatial.merge_spans(grid, objects, bounded=True)
     assert "BroadcastExchange" not in plan(merged)

@@ -1,11 +1,14 @@
 """What lets the steps grow with their input: code the JVM compiles, no broadcast of large sides, boxes that move once."""
 
+import hashlib
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from secondpass.functions import geometry
-from secondpass.operators import spatial, tables
+from secondpass.functions import digests, geometry
+from secondpass.operators import resampling, spatial, tables
 from secondpass.session import pin
 
 
@@ -65,3 +68,31 @@ def test_overlaps_of_bounded_tables_move_each_cell_once(spark):
     found = tables.validate_cells(cells, bounded=True)
     assert [tuple(r) for r in found.collect()] == [("k1", 2, "cells overlap")]
     assert [tuple(r) for r in tables.validate_cells(cells).collect()] == [("k1", 2, "cells overlap")]
+
+
+def test_hashes_of_many_texts_equal_the_library():
+    texts = [b"", b"0", "é\U0001f600".encode(), *[b"%d" % i for i in range(1200)], *[b"x" * n for n in range(40, 70)]]
+    tails = digests.Tails(texts)
+    for prefix in (b"", b"s:0:", b"protocol:4999:", b"p" * 53, b"p" * 90):
+        assert tails.bits(prefix).tolist() == [int(hashlib.md5(prefix + t).hexdigest()[:13], 16) for t in texts]
+
+
+def test_bootstraps_draw_by_the_published_hash(spark, monkeypatch):
+    rows = [(f"r{i:03d}", float(i * i % 17), 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "sample_id string, a double, b double")
+    def bits(repetition, position):
+        return int(hashlib.md5(f"s:{repetition}:{position}".encode()).hexdigest()[:13], 16)
+    values = [a - b for _, a, b in rows]
+    means = [np.mean([values[bits(k, i) % 90] for i in range(90)]) for k in range(30)]
+    bounds = resampling._poisson_bounds()
+    weights = [[sum((bits(k, name) + 0.5) / (1 << 52) >= b for b in bounds) for name, _, _ in rows] for k in range(30)]
+    weighted = [np.dot(w, values) / sum(w) for w in weights]
+    for method, wanted in (("draws", means), ("poisson", weighted)):
+        row = resampling.paired_bootstrap(df, "a", "b", "s", 30, method=method).first()
+        assert (row["lower"], row["upper"]) == pytest.approx(tuple(np.percentile(wanted, [2.5, 97.5])))
+        assert row["replicates"] == 30 and row["observed"] == pytest.approx(np.mean(values))
+    # Neither a row per draw nor one task that holds an array in the driver.
+    asked = plan(resampling.paired_bootstrap(df, "a", "b", "s", 30, method="poisson"))
+    assert "Generate" not in asked and "MapInArrow" in asked
+    none = resampling.paired_bootstrap(df.where("a < 0"), "a", "b", "s", 30).first()
+    assert none["observed"] is None and none["lower"] is None and none["replicates"] == 30

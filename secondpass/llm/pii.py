@@ -4,11 +4,11 @@ High-recall generators propose spans, which may overlap: the four base patterns,
 of their matches that fail the check of their kind, and looser forms (spelled-out
 addresses, phone numbers without a plus). Boosted trees see the format of a span and
 its context; a threshold per kind is the lowest score at which the accepted spans of a
-held-out part of the sample keep a precision of ``PRECISION``. Base spans always stay;
+held-out third of the base matches keep a precision of ``PRECISION``. Base spans always stay;
 a proposed span is added if it passes and overlaps none of them.
 
-The trees learn which base matches pass their check, from the first ``SAMPLE`` candidates
-by hash; where these hold one outcome only, nothing is added. Positions are sums of the
+The trees learn which base matches pass their check, from all of them, counted by features
+and outcome; where these hold one outcome only, nothing is added. Positions are sums of the
 lengths between and of the matches, code points throughout. Patterns are written with
 possessive repeats, so that a run of any length takes no stack and no second try.
 
@@ -30,7 +30,7 @@ from secondpass.llm.common import id_and_text
 from secondpass.session import pin
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, PRECISION = 20_000, 0.99
+PRECISION = 0.99
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -137,18 +137,23 @@ def _features(spans: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame):
-    """Trees and thresholds per kind from a bounded sample; None where one outcome is missing."""
-    spans = found.select("row_no", F.explode("found").alias("f")).select("row_no", "f.*").where("ok IS NOT NULL")
-    sample = spans.orderBy(F.xxhash64("row_no", "kind", "start"), "row_no", "kind", "start").limit(SAMPLE)
-    sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        pin(_features(sample).withColumn("label", F.col("ok").cast("double")), "pii-sample"))
+    """Trees and thresholds per kind from every base match; None where one outcome is missing.
+
+    Matches of equal features and outcome are counted, and the counts are their weights, so
+    the rows to learn from stay few without leaving any match out.
+    """
+    spans = found.select("row_no", F.explode("found").alias("f")).select("f.*").where("ok IS NOT NULL")
     test = F.pmod(F.xxhash64("s"), F.lit(3)) == 0
-    if sample.where(~test).select("label").distinct().count() < 2:
+    marked = _features(spans).withColumn("label", F.col("ok").cast("double")).withColumn("test", test)
+    counted = marked.groupBy("kind", "label", "test", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counted = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(pin(counted, "pii-counted"))
+    if counted.where("NOT test").select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=15, maxDepth=3, seed=7).fit(sample.where(~test))
-    scored = model.transform(sample.where(test)).select("kind", "label", vector_to_array("probability")[1].alias("p"))
-    lower = Window.partitionBy("kind").orderBy(F.desc("p"))  # at most SAMPLE rows
-    kept = scored.withColumn("precision", F.avg("label").over(lower)).where(F.col("precision") >= PRECISION)
+    model = GBTClassifier(maxIter=15, maxDepth=3, seed=7, weightCol="n").fit(counted.where("NOT test"))
+    scored = model.transform(counted.where("test")).select("kind", "label", "n", vector_to_array("probability")[1].alias("p"))
+    levels = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right"))
+    lower = Window.partitionBy("kind").orderBy(F.desc("p"))  # a row for every value the trees give
+    kept = levels.withColumn("precision", F.sum("right").over(lower) / F.sum("n").over(lower)).where(F.col("precision") >= PRECISION)
     limits = {r["kind"]: r["p"] for r in kept.groupBy("kind").agg(F.min("p").alias("p")).collect()}
     return model, limits
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from secondpass.functions import digests, geometry
-from secondpass.operators import resampling, spatial, tables
+from secondpass.operators import resampling, routing, spatial, tables
 from secondpass.session import pin
 
 
@@ -96,3 +96,11 @@ def test_bootstraps_draw_by_the_published_hash(spark, monkeypatch):
     assert "Generate" not in asked and "MapInArrow" in asked
     none = resampling.paired_bootstrap(df.where("a < 0"), "a", "b", "s", 30).first()
     assert none["observed"] is None and none["lower"] is None and none["replicates"] == 30
+
+
+def test_random_keys_are_compared_without_parsing_them(spark):
+    keys = spark.range(500).selectExpr("string(id) AS i").select(routing.random_key("s", F.lit(1), "i").alias("k"))
+    for bound in (0.0, 16.0**12 + 0.5, 16.0**13 / 3, 16.0**13 - 1, 16.0**13):
+        wrong = keys.where(routing._below(F.col("k"), bound) != (routing._prefix(F.col("k")) < bound))
+        assert wrong.count() == 0
+    assert "conv(" not in plan(keys.where(routing._below(F.col("k"), 16.0**12)))

@@ -214,3 +214,102 @@ def test_grid_scores():
     assert forth["con_matched"] == back["con_matched"] == 4
     assert grids.text_similarity("abcd", "acbd") == 0.75 and grids.text_similarity("", "") == 1.0 and grids.text_similarity("", "x") == 0.0
     assert grids.compare([], a, ("top",))["errors"] == ["top"]
+
+
+def test_stacked_grids_equal_single_ones():
+    import random
+
+    import pyarrow as pa
+
+    from secondpass.functions import grid_stacks, grids
+    from secondpass.operators.scoring import METRICS
+
+    draw = random.Random(5)
+    words = ["", None, "a", "abc", "acb", "12-34", "é\U0001f600x", "long " * 5, "longer " * 12, "tail " * 60, "tall " * 60, "q" * 9, "pq" * 9]
+
+    def table():
+        rows, columns, cells = draw.randint(1, 4), draw.randint(1, 4), []
+        for r in range(rows):
+            for c in range(columns):
+                if draw.random() < 0.9:
+                    box = [float(draw.randint(0, 9)) for _ in range(4)] if draw.random() < 0.97 else [None] * 4
+                    cells.append(dict(row_start=r, row_end=r + draw.choice((1, 1, 2)), column_start=c, column_end=c + draw.choice((1, 1, 3)),
+                                      text=draw.choice(words), x0=box[0], y0=box[1], x1=box[2], y1=box[3]))
+        if cells and draw.random() < 0.03:
+            cells[0]["row_start"] = draw.choice((None, -1))
+        if draw.random() < 0.1:
+            for cell in cells:
+                cell.update(x0=None, y0=None, x1=None, y1=None)
+        return cells
+
+    left, right = [table() for _ in range(600)], [table() for _ in range(600)]
+    right[:200] = [[dict(cell) for cell in cells] for cells in left[:200]]
+    for cells in right[50:150]:
+        for cell in cells:
+            cell["text"] = draw.choice((cell["text"], "abc"))
+    left[3], right[4], left[5] = None, [], []
+    cell = pa.struct([(n, pa.int32()) for n in ("row_start", "row_end", "column_start", "column_end")] + [("text", pa.string())]
+                     + [(n, pa.float64()) for n in ("x0", "y0", "x1", "y1")])
+
+    def single(a, b, metrics):
+        try:
+            return grids.compare(a or [], b or [], metrics)
+        except Exception:  # null indices are an error of the batch
+            return None
+
+    for metrics in (METRICS, ("con", "top"), ("top",)):
+        kind = pa.struct([("reference_size", pa.int64()), ("prediction_size", pa.int64()),
+                          *[(f"{m}_matched", pa.float64()) for m in metrics], ("errors", pa.list_(pa.string()))])
+        wanted = [single(a, b, metrics) for a, b in zip(left, right)]
+        fine = [i for i, row in enumerate(wanted) if row is not None]
+        assert len(fine) > 500
+        sides = [pa.array([side[i] for i in fine], pa.list_(cell)) for side in (left, right)]
+        for low, high in ((0, len(fine)), (10, 13)):
+            found = grid_stacks.compare(sides[0][low:high], sides[1][low:high], metrics, kind).to_pylist()
+            for row, i in zip(found, fine[low:high]):
+                for name, value in wanted[i].items():
+                    same = row[name] == value or (isinstance(value, float) and abs(row[name] - value) < 1e-9)
+                    assert same, (i, name, row, wanted[i])
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    import random
+
+    from secondpass.functions import tables as reader
+
+    draw = random.Random(11)
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", '<td colspan="2">', '<td rowspan="2" colspan="1">',
+              '<td colspan="x">', '<td colspan="0">', '<td colspan="2147483647">', "<p>", "</p>", "text ", " ", "a > b", "\x1c\x0b", "é", "<tr class=\"a b\">",
+              "<td colspan=\"3\" colspan=\"2\">", "</td x=\"1\">"]
+    odd = ["&amp;", "<br/>", "<!-- c -->", "<TD>", "<", "<td", "<script>", "<td colspan=2>", "</ td>"]
+
+    def outcome(read, *args):
+        try:
+            return read(*args)
+        except reader.TableError as error:
+            return str(error)
+
+    plain = 0
+    for number in range(4000):
+        rows = "".join("<tr>" + "".join(draw.choice(pieces[4:9:4] + ["<td>"]) + draw.choice(("1", " b  c ", "")) + "</td>" for _ in range(3)) + "</tr>" for _ in range(2))
+        loose = [draw.choice(pieces) for _ in range(draw.randint(1, 12))]
+        if number % 3 == 0:
+            loose.insert(draw.randrange(len(loose)), draw.choice(odd))
+        markup = f"<table>{rows}</table>" if number % 2 else "".join(loose)
+        if reader._PLAIN.fullmatch(markup):
+            plain += 1
+            for charrefs in (True, False):
+                merged = []
+                for token in reader._Tokens(markup, charrefs).found:  # neighbouring texts may come in parts
+                    if merged and token[0] == merged[-1][0] == "text":
+                        merged[-1] = ("text", "", merged[-1][2] + token[2], {})
+                    else:
+                        merged.append(token)
+                assert reader._tokens(markup, charrefs) == merged, markup
+        assert not reader._PLAIN.fullmatch(markup + draw.choice(odd))
+        spans = [[{"tag": "td", "parts": ["x"], "rowspan": "1", "colspan": draw.choice(("1", "1", "2", "x", "2147483647"))}
+                  for _ in range(draw.randint(1, 3))] for _ in range(2)]
+        flat = outcome(reader._place_flat, spans)
+        spans[0][0]["rowspan"] = " 1"  # the same span, read by the general way
+        assert outcome(reader._place, spans) == flat
+    assert plain > 2000

@@ -104,3 +104,63 @@ def test_random_keys_are_compared_without_parsing_them(spark):
         wrong = keys.where(routing._below(F.col("k"), bound) != (routing._prefix(F.col("k")) < bound))
         assert wrong.count() == 0
     assert "conv(" not in plan(keys.where(routing._below(F.col("k"), 16.0**12)))
+
+
+def test_permutation_reliance_moves_no_wide_rows_times_units(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from secondpass.operators import aggregates, learning
+
+    n, repetitions = 240, 2
+    draw = np.random.default_rng(3)
+    names = ["a", "b"]
+    rows = [(f"s{i:03d}", f"g{i % 4}", i % 2, float(draw.integers(0, 6)), None if i % 17 == 0 else float(draw.integers(0, 9)),
+             float(draw.integers(0, 8)), 0.5, 0.5, "success", 0.75, 0.5, 1.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "sample_id string, issuer string, fold int, benefit double, a double, b double, primary_con double, "
+                               "primary_top double, expert_status string, expert_con double, expert_top double, expert_seconds double")
+    models = {(f, "p"): learning.RidgeModel(("a", "b"), {"a": 4.0, "b": 3.0}, [0.5 + f, -0.25], 0.1, {}) for f in range(2)}
+    units = {name: (name,) for name in names} | {f"{name}{i}": (name,) for name in names for i in range(4)}
+
+    pinned, real = [], learning.pin
+    monkeypatch.setattr(learning, "pin", lambda part, *args: pinned.append(real(part, *args)) or pinned[-1])
+    found = {(r["unit"], r["measure"]): r["mean"] for r in learning.permutation_reliance(
+        df, models, "benefit", 20, repetitions, "seed", features=names, units=units).collect()}
+    assert max(part.count() for part in pinned) <= n * repetitions
+
+    # The plain way: every permuted table predicted, measured and ranked by itself.
+    donors = df.select(F.col("sample_id").alias("donor"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    moved = learning.within_group_permutation(df, "issuer", repetitions, "seed").join(donors, "donor").join(df, "sample_id")
+    plain = learning.held_out_predictions(df.withColumn("repetition", F.lit(-1)), models, ["repetition", "benefit"])
+    assert found.keys() == {(u, m) for u in units for m in ("mse_increase", "spearman_drop", "quality_drop")}
+    before = (aggregates.mean_squared_error(plain, "prediction", "benefit").first()["mse"],
+              aggregates.spearman(plain, "prediction", "benefit").first()["value"])
+    for name in names:
+        swapped = moved.withColumn(name, F.col(f"_{name}"))
+        after = learning.held_out_predictions(swapped, models, ["repetition", "benefit"])
+        mse = aggregates.mean_squared_error(after, "prediction", "benefit", ["repetition"]).agg(F.avg("mse")).first()[0]
+        rank = aggregates.spearman(after, "prediction", "benefit", ["repetition"]).agg(F.avg("value")).first()[0]
+        assert abs(found[name, "mse_increase"] - (mse - before[0])) < 1e-9
+        assert abs(found[name, "spearman_drop"] - (before[1] - rank)) < 1e-9
+
+
+def test_cell_features_need_no_python_for_plain_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from secondpass.functions import text
+    from secondpass.operators import features
+
+    texts = ["", " ", None, "12", "-3%", " 4 5 ", "A", "a1", "1998-01-02", "x 7", "é", "é 1", "½", "１", "12abc", "1\n2", " 5", "12_", "+", "(3)"]
+    rows = [(f"t{i}", i, r, r + 1, 0, 1, value, 0.0, 0.0, 1.0, 1.0) for i, value in enumerate(texts) for r in (0,)]
+    cells = spark.createDataFrame(rows, "sample_id string, i int, row_start int, row_end int, column_start int, column_end int, text string, "
+                                  "x0 double, y0 double, x1 double, y1 double")
+    normal = text.normalize_text(F.col("text"))
+    wanted = {r["sample_id"]: (r["e"], r["n"]) for r in cells.select(
+        "sample_id", (normal == "").cast("double").alias("e"), text.is_numeric_looking(normal).cast("double").alias("n")).collect()}
+    found = {r["sample_id"]: (r["empty_cell_ratio"], r["numeric_looking_cell_ratio"]) for r in features.cell_features(cells).collect()}
+    assert found == wanted
+
+    seen = []
+    monkeypatch.setattr(features, "normalize_text", lambda column: seen.append(1) or column)
+    odd = features.undecided_texts(cells).select("text").collect()
+    assert {r["text"] for r in odd} == {"a1", "x 7", "é", "é 1", "½", "１", "12abc", " 5", "12_", "(3)", " 4 5 ", "1\n2"}

@@ -229,6 +229,42 @@ def _merge_level(states: DataFrame, limit: int, keys: list[str], key_ddl: str) -
     return merged.select(*names).unionByName(alone.select(*names))
 
 
+def contenders(options: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame | None:
+    """Records (keys, sample_id) that an optimum within ``limit`` may pay for, or None where that would drop few.
+
+    Were a payment of a cost in an optimum and not among the best of that cost, one of the better ones would be
+    for a record that is retained, and paying for that record instead would be better. So the best of every cost are
+    enough, one more than what is left of the limit can pay for. Equal ones are better the later their record is,
+    as chosen ranks are compared in the order of ids. Records not retained at cost and value 0 by their lowest rank always stay.
+    """
+    paid = F.col("cost") > 0
+    sizes = options.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(paid, F.col("cost"))).alias("least"), F.min("cost").alias("lowest"))
+    largest, least, lowest = sizes.agg(F.max("n"), F.min("least"), F.min("lowest")).first()
+    most = max(1, limit // least) if least else 1  # records paid for at once
+    if not largest or largest <= 16 * most or not least or lowest < 0:
+        return None
+    record = [*keys, "sample_id"]
+    own = Window.partitionBy(*record)
+    still = "cost = 0 AND benefit = 0 AND area_num = 0 AND footprint = 0"
+    plain = (F.min("cost").over(own) == 0) & (F.count_if(F.col("cost") == 0).over(own) == 1) & (
+        F.min_by(F.expr(f"coalesce({still}, false)"), "action_rank").over(own))
+    marked = options.withColumn("_plain", plain)
+    better = [F.desc(F.round("benefit", _DIGITS)), F.col("area_num") / F.col("area_den"), "footprint", F.col("action") == "whole_table"]
+    best = marked.where(F.col("_plain") & paid & (F.col("cost") <= limit)).withColumn(
+        "_own", F.row_number().over(Window.partitionBy(*record, "cost").orderBy(*better, "action_rank"))).where("_own = 1")
+    order = [*better, F.desc("sample_id")]
+    if most <= 1000:  # sorted in every task first, which passes on that many rows only
+        best = best.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "cost").orderBy(*order)))
+    else:
+        best = with_rank(best, order, [*keys, "cost"], "_place")
+    best = best.where(F.col("_place") <= most).where(
+        F.col("_place") <= 1 + F.floor((F.lit(limit) - F.col("cost")) / F.lit(least)))
+    # A segment keeps one record at least.
+    last = options.groupBy(*keys).agg(F.max("sample_id").alias("sample_id"))
+    special = marked.where(~F.col("_plain")).select(*record)
+    return pin(best.select(*record).unionByName(special).unionByName(last.select(*record)).distinct(), "contenders")
+
+
 def search_choices(actions: DataFrame, budgets: Sequence[int], segment: Sequence[str] = ("segment",),
                    id_col: str = "sample_id", chunk_records: int = 32) -> tuple[DataFrame, DataFrame]:
     """Exact best choice of one action per record, per segment and budget.
@@ -240,6 +276,11 @@ def search_choices(actions: DataFrame, budgets: Sequence[int], segment: Sequence
     limit = int(max(budgets))
     options = eligible_actions(actions).select(
         *keys, F.col(id_col).alias("sample_id"), "action", "action_rank", "benefit", "cost", "area_num", "area_den", "footprint")
+    record, retained = [*keys, "sample_id"], None
+    if (some := contenders(options, limit, keys)) is not None:
+        # All others have one action without cost, by which they are retained.
+        retained = options.where("cost = 0").join(some, record, "left_anti").select(*record, "action_rank")
+        options = pin(options.join(some, record, "left_semi"), "contenders")
     ids = pin(with_rank(options.select(*keys, "sample_id").distinct(), ["sample_id"], keys, "_n"), "record-numbers")
     chunked = options.join(ids, [*keys, "sample_id"]).withColumn(
         "chunk", F.floor((F.col("_n") - 1) / chunk_records)).drop("_n")
@@ -272,6 +313,10 @@ def search_choices(actions: DataFrame, budgets: Sequence[int], segment: Sequence
     picks = picks.select(*keys, "budget", (F.col("chunk") * chunk_records + F.col("_p") + 1).alias("_n"),
                          F.col("_r").cast("int").alias("action_rank"))
     picks = picks.join(ids, [*keys, "_n"]).select(*keys, "budget", F.col("sample_id").alias(id_col), "action_rank")
+    if retained is not None:
+        rest = retained.join(frontier.select(*keys, "budget"), keys).select(
+            *keys, "budget", F.col("sample_id").alias(id_col), F.col("action_rank").cast("int").alias("action_rank"))
+        picks = picks.unionByName(rest)
     return frontier, picks
 
 

@@ -8,17 +8,18 @@ either set then have at least ``shared_at_least(n)`` in common. Three steps use
 1. *Alone or not.* Sketch tokens are counted over all distinct texts. A document with fewer
    tokens met elsewhere than the bound asks for can link with nothing; its set is not built again.
 2. *Groups.* The others are dealt by signatures, their smallest sketch token under a permutation.
-   Documents with one signature are similar; they make a group, or several of bounded size.
-   Each is also compared with the first of each of its signatures: links found there put a large
-   family of copies into one component without its pairs.
+   Each is compared with the most usual one of each of its signatures: links found there put a large
+   family of copies into one component without its pairs. Documents of one component, signature
+   and size make a group, or several of bounded size.
 3. *Token-group matrix.* For every token the groups whose union holds it. A document probes
-   with its rarest tokens, as many as the bound needs, counts its overlap with the union of
-   every group met, and opens the group only where that count reaches the bound. First
-   the smallest document of each component asks, then the others, and none asks where all
-   members are in its own component already. An open group returns what connects components, not pairs.
+   with its rarest tokens, as many as the first common token of a link can be among, and reaches groups of other
+   components that hold one of them in a place and size that allow a link. It counts its overlap with the union of
+   every group reached, and opens the group only where that count reaches the bound.
+   An open group returns what connects components, not pairs.
 
-A task opens one group of bounded size for a bounded number of queries. Families whose members
-nearly link but do not are the costly case: each member opens each group of the family.
+A task opens one group of bounded size for a bounded number of queries. Members of a family that
+nearly link with its centre have as many tokens of their own as they probe with, so they reach
+only members that share one of these. Families without a centre remain the costly case.
 
 Defined results: a null or wordless text has no set and links with nothing; with fewer words
 than the width the whole sequence is the one shingle; null ids are never the smallest of a
@@ -189,49 +190,75 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return pin(nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "placed")
 
 
+def prefixes(full: DataFrame) -> DataFrame:
+    """(node, token, n, top, mass): the rarest tokens of every set of ``n``, as many as a link can have its first common token among.
+
+    Tokens are in one order for all sets, rare ones first. Sets whose first common token has ``p`` tokens before it in one of
+    them have at most ``n - p`` in common, so the other has at most ``top``. ``mass`` is how often tokens of the set occur, on average.
+    """
+    df = full.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    own = Window.partitionBy("node")  # bounded by the document
+    placed = full.join(df, "token").withColumn("_p", F.row_number().over(own.orderBy("df", "token")) - 1)
+    placed = placed.withColumn("mass", F.avg("df").over(own)).withColumn(
+        "top", F.floor(((100 + PERCENT) * (F.col("n") - F.col("_p")) - PERCENT * F.col("n")) / PERCENT))
+    return placed.where((F.col("df") > 1) | (F.col("_p") == 0)).where(100 * F.col("top") >= PERCENT * F.col("n")).select(
+        "node", "token", "n", "top", "mass", (F.col("df") > 1).alias("met"))
+
+
 def matrix_of(tokens: DataFrame, groups: DataFrame) -> DataFrame:
-    """The token-group matrix: every token (and how many groups hold it) with every group whose union holds it."""
-    matrix = pin(tokens.join(groups, "node").select("token", "g").distinct(), "token-group-matrix")
-    return matrix.join(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    """The token-group matrix: every token with every group whose union holds it."""
+    return pin(tokens.join(groups.select("node", "g"), "node").select("token", "g").distinct(), "token-group-matrix")
 
 
-def qualifying(tokens: DataFrame, need: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(g, node): groups whose union holds as many sketch tokens of a document as a link needs."""
-    df = matrix.select("token", "df").distinct()
-    own = Window.partitionBy("node")  # bounded by the document
-    met = tokens.join(df, "token").join(need, "node").withColumn("met", F.count(F.lit(1)).over(own))
-    met = met.where(F.col("met") >= F.col("need")).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
-    met = pin(met, "met-tokens")
-    probes = met.where(F.col("place") <= F.col("met") - F.col("need") + 1).select("node", "token")
-    reached = probes.join(matrix, "token").select("node", "g").distinct()
-    overlap = met.select("node", "need", "token").join(reached, "node").join(matrix.select("token", "g"), ["token", "g"])
-    bound = overlap.groupBy("node", "g").agg(F.count(F.lit(1)).alias("overlap"), F.first("need").alias("need"))
-    return bound.where("overlap >= need").select("g", "node")
+def reaching(probes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, g): groups of other components that hold a probe of a document in place and size as the first common token of a link is.
+
+    Of two components the smaller one asks.
+    """
+    side = F.struct(F.col("members"), F.col("component"))
+    asking = probes.join(groups.withColumn("side", side).select("node", "side"), "node")
+    held = probes.select("node", "token", "n", "top").join(groups.withColumn("side", side).select("node", "g", "side"), "node")
+    held = held.groupBy("token", "g").agg(
+        F.first("side").alias("g_side"), F.first("n").alias("g_n"), F.max("top").alias("g_top"))
+    meet = (F.col("side") < F.col("g_side")) & (F.col("n") <= F.col("g_top")) & (F.col("g_n") <= F.col("top"))
+    held = held.withColumnRenamed("token", "g_token")
+    return pin(asking.join(held, (F.col("token") == F.col("g_token")) & meet).select("node", "g").distinct(), "reached")
+
+
+def qualifying(tokens: DataFrame, need: DataFrame, matrix: DataFrame, reached: DataFrame) -> DataFrame:
+    """(g, node): of the groups reached those whose union holds as many sketch tokens of a document as a link needs."""
+    overlap = tokens.join(reached, "node").join(matrix, ["token", "g"])
+    bound = overlap.groupBy("node", "g").agg(F.count(F.lit(1)).alias("overlap"))
+    return bound.join(need, "node").where("overlap >= need").select("g", "node")
 
 
 def _links(tokens: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
     """Components (node, component) of documents, given their sketch tokens, sets and needs."""
     least = tokens.groupBy("node").agg(*[F.min(F.xxhash64("token", F.lit(i))).alias(f"s{i}") for i in range(SIGNATURES)])
     least = pin(least, "signatures")
-    dealt = least.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), f"s{i}") for i in range(SIGNATURES)])).alias("g"))
-    first = dealt.groupBy("g").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = pin(first, "first-of-signature")
+    full = sets.join(least.select("node"), "node").select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    prefix = pin(prefixes(full), "prefixes")
+    sizes = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("mass").alias("mass"))
+    least = pin(least.join(sizes, "node"), "signatures")
+    dealt = least.select("node", "mass", F.explode(F.array(*[F.xxhash64(F.lit(i), f"s{i}") for i in range(SIGNATURES)])).alias("g"))
+    # Of copies with few edits the one whose tokens are met most is nearest to the others.
+    first = dealt.groupBy("g").agg(F.max(F.struct("mass", "node")).alias("_m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = pin(first.select("g", "_m.node"), "first-of-signature")
     others = dealt.join(first.select("g", F.col("node").alias("first")), "g").where("node <> first").select("g", "node")
     alone = need.select("node", F.col("node").alias("component"))
     links = pin(opened(others, first, sets, alone), "star-links")
 
-    # Similar documents share their first signature; its documents are dealt to groups of bounded size.
-    chunks = least.groupBy("s0").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks"))
-    groups = pin(least.join(chunks, "s0").select("node", F.xxhash64("s0", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("g")), "groups")
-    asked = pin(qualifying(tokens, need, matrix_of(tokens, groups)), "qualifying")
-    for wave in ("first", "others"):
-        placed = _components(need, links)
-        inside = groups.join(placed, "node").groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = asked.join(placed, "node").join(inside, "g")
-        open_ = open_.where((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
-        is_first = F.col("node") == F.col("component")
-        open_ = open_.where(is_first if wave == "first" else ~is_first).select("g", "node")
-        links = links.unionByName(pin(opened(open_, groups.select("g", "node"), sets, placed), "links"))
+    # Groups of bounded size hold sets of one component, signature and size, so a document asks none of its own component.
+    placed = _components(need, links)
+    members = placed.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    kinds = ["component", "s0", "n"]
+    dealt = least.join(placed, "node").join(members, "component").select("node", "members", *kinds)
+    chunks = dealt.groupBy(*kinds).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks"))
+    groups = dealt.join(chunks, kinds).withColumn("g", F.xxhash64(*kinds, F.pmod(F.xxhash64("node"), F.col("chunks"))))
+    groups = pin(groups.select("node", "component", "members", "g"), "groups")
+    reached = reaching(prefix.where("met"), groups)
+    asked = pin(qualifying(tokens, need, matrix_of(tokens, groups), reached), "qualifying")
+    links = links.unionByName(pin(opened(asked, groups.select("g", "node"), sets, placed), "links"))
     return _components(need, links)
 
 

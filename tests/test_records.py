@@ -88,3 +88,28 @@ def test_contents_read_by_type_are_those_read_as_variants(spark):
     found, wanted = (sorted(map(repr, payloads.content_rows(part, ["k"], "p").collect())) for part in (df, slow))
     assert found == wanted
     assert sum("reason='bad record'" in row for row in found) > 10 and sum("reason='invalid JSON'" in row for row in found) > 5
+
+
+def test_bare_tables_and_bare_attributes_need_no_parser(monkeypatch):
+    from secondpass.functions import tables
+
+    def read(markup):
+        try:
+            return tables.html_cells(markup)
+        except tables.TableError as error:
+            return str(error)
+
+    row = '<tr><td rowspan=2> x  y</td><td colspan="2">A > b</td></tr><tr><td>é</td><td></td></tr>'
+    markups = [f"<table>{part}</table>" for part in (
+        row, row + row, "", "<tr></tr>", row.replace("2>", "0>"), row.replace("=2", "=3"), row.replace('"2"', '" 2"'), row.replace("=2", "=2 rowspan=1"),
+        row.replace("<td>", '<td class="b c" id=x1>'), row.replace("rowspan=2", 'title=" rowspan=5" rowspan=2'), row.replace("</td></tr>", "</tr>"),
+        row.replace("é", "&eacute;"), row.replace("<td>", "<td/>"), row.replace("=2", "=2/"), row.replace("=2", "=٢"), row + " ", row + "x")]
+    fast = [read(markup) for markup in markups]
+    pages = [tables.top_level_tables(markup) for markup in markups]
+    assert tables._BARE.fullmatch(markups[0]) and tables._PLAIN.fullmatch(markups[8])
+    never = tables.re.compile(r"(?!)")
+    monkeypatch.setattr(tables, "_BARE", never)
+    monkeypatch.setattr(tables, "_PLAIN", never)
+    assert fast == [read(markup) for markup in markups]
+    assert pages == [tables.top_level_tables(markup) for markup in markups]
+    assert len(fast[0]) == 4 and fast[0][0]["row_end"] == 2

@@ -17,9 +17,12 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from secondpass.functions import choices
 from secondpass.operators.expectations import ACTIONS, LOCAL_ACTIONS, WHOLE_TABLE_COST
 from secondpass.operators.order import with_rank, with_running_total
 from secondpass.session import pin, spread
@@ -99,21 +102,101 @@ def _better(a: tuple, b: tuple) -> bool:
     return (-round(a[0], _DIGITS), *a[1:]) < (-round(b[0], _DIGITS), *b[1:])
 
 
-def _chunk_solver(limit: int, keys: Sequence[str]):
-    columns = ["sample_id", "benefit", "cost", "area_num", "area_den", "footprint", "action", "action_rank"]
+def _plain_states(options: Sequence[tuple], limit: int) -> list[tuple]:
+    """States of one chunk from options ``(record, cost, benefit, area, footprint, whole, rank)``, in the order of cost."""
+    menus: dict[int, list[tuple]] = {}
+    for record, *option in options:
+        menus.setdefault(record, []).append(tuple(option))
+    states = {0: (0.0, Fraction(0), 0.0, 0, "")}
+    for record in sorted(menus):
+        states = _combine(states, menus[record], limit)
+    return [(cost, *state) for cost, state in sorted(states.items())]
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        menus: dict[str, list[tuple]] = {}
-        for name, benefit, cost, num, den, footprint, action, rank in rows[columns].itertuples(index=False, name=None):
-            option = (cost, benefit, Fraction(int(num), int(den)), footprint, int(action == "whole_table"), str(rank))
-            menus.setdefault(name, []).append(option)
-        states = {0: (0.0, Fraction(0), 0.0, 0, "")}
-        for name in sorted(menus):
-            states = _combine(states, menus[name], limit)
-        place = {ranks: i for i, ranks in enumerate(sorted(state[4] for state in states.values()))}
-        found = [(cost, b, str(area), f, w, place[ranks], ranks) for cost, (b, area, f, w, ranks) in sorted(states.items())]
-        frame = pd.DataFrame(found, columns=["cost", "benefit", "area", "footprint", "whole", "place", "ranks"])
-        return _keyed(frame, rows, keys)
+
+_NUMBERS = ("record", "benefit", "cost", "area_num", "area_den", "footprint", "whole", "action_rank")
+_BATCH_ROWS = 200_000  # options solved together
+
+
+def _chunk_solver(limit: int, budgets: Sequence[int], keys: Sequence[str], chunk_records: int):
+    """States of chunks whose options come sorted by chunk and record.
+
+    A chunk that is not full is the only one of its segment: of it, only the states that are best within a budget are needed.
+    """
+    names = [*keys, "chunk"]
+
+    def solved(rows: pa.Table) -> pa.Table:
+        for name in _NUMBERS:
+            if rows[name].null_count:
+                raise ValueError(f"eligible actions without {name}")
+        columns = {name: rows[name].to_numpy() for name in _NUMBERS}
+        marks = np.zeros(len(rows) - 1, bool)
+        for name in names:
+            column = rows[name].chunk(0)
+            differs = pc.invert(pc.equal(column.slice(1), column.slice(0, len(column) - 1)))
+            nulls = pc.is_null(column).to_numpy(zero_copy_only=False)
+            marks |= pc.fill_null(differs, False).to_numpy(zero_copy_only=False) | (nulls[1:] != nulls[:-1])
+        starts = np.concatenate([[0], np.flatnonzero(marks) + 1])
+        group = np.concatenate([[0], np.cumsum(marks)])
+        counts = np.diff(np.append(starts, len(rows)))
+        record, cost, rank = columns["record"].astype(np.int64), columns["cost"].astype(np.int64), columns["action_rank"].astype(np.int64)
+        unit = math.lcm(*map(int, np.unique(columns["area_den"])))
+        area, largest = None, max(abs(int(columns["area_num"].min())), abs(int(columns["area_num"].max())))
+        if unit < 2**31 and largest < 2**31:
+            area = columns["area_num"].astype(np.int64) * (unit // columns["area_den"].astype(np.int64))
+        records = np.maximum.reduceat(record, starts) + 1
+        single = (rows["chunk"].to_numpy()[starts] == 0) & (records < chunk_records)
+        exact = np.zeros(len(starts), bool)
+        if area is not None and not (cost < 0).any():
+            divisor = max(1, math.gcd(*np.unique(cost).tolist(), 0))
+            exact = choices.solvable(cost, rank, area, int(records.max()), choices.widths(group, record, cost // divisor, limit // divisor))
+        found = choices.solve(group, record, {
+            "cost": cost, "benefit": columns["benefit"], "area": area, "footprint": columns["footprint"].astype(np.float64),
+            "whole": columns["whole"].astype(np.int64), "rank": rank}, limit, [int(b) for b in budgets], single, np.flatnonzero(exact)) if exact.any() else {
+                name: np.zeros(0, np.int64) for name in ("group", "cost", "benefit", "area", "footprint", "whole", "high", "low")}
+        texts = {int(a): str(Fraction(int(a), unit)) for a in np.unique(found["area"])}
+        half = choices._HALF
+        ranks = [f"{high:0{min(n, half)}d}" + (f"{low:0{n - half}d}" if n > half else "") for high, low, n in zip(
+            found["high"].tolist(), found["low"].tolist(), records[found["group"].astype(np.int64)].tolist())]
+        states = list(zip(found["group"].tolist(), found["cost"].tolist(), found["benefit"].tolist(), [texts[a] for a in found["area"].tolist()],
+                          found["footprint"].tolist(), found["whole"].tolist(), ranks))
+        for g in np.flatnonzero(~exact).tolist():  # odd costs, areas or ranks
+            part = slice(int(starts[g]), int(starts[g] + counts[g]))
+            options = zip(record[part].tolist(), cost[part].tolist(), columns["benefit"][part].tolist(),
+                          [Fraction(int(n), int(d)) for n, d in zip(columns["area_num"][part].tolist(), columns["area_den"][part].tolist())],
+                          columns["footprint"][part].tolist(), columns["whole"][part].tolist(), map(str, columns["action_rank"][part].tolist()))
+            states += [(g, c, b, str(a), f, w, r) for c, b, a, f, w, r in _plain_states(list(options), limit)]
+        # The place of a state in the order of chosen ranks, for merges of chunks.
+        states.sort(key=lambda state: (state[0], state[-1]))
+        at, place, last = np.array([state[0] for state in states], np.int64), [], None
+        for state in states:
+            place.append(0 if state[0] != last else place[-1] + 1)
+            last = state[0]
+        held = [rows[name].chunk(0).take(pa.array(starts[at])) for name in names]
+        values = list(zip(*[state[1:] for state in states])) or [()] * 6
+        kinds = (pa.int64(), pa.float64(), pa.string(), pa.float64(), pa.int64(), pa.string())
+        cost_, benefit, text, footprint, whole, ranks_ = (pa.array(v, kind) for v, kind in zip(values, kinds))
+        return pa.Table.from_arrays([*held, cost_, benefit, text, footprint, whole, pa.array(place, pa.int64()), ranks_],
+                                    [*names, "cost", "benefit", "area", "footprint", "whole", "place", "ranks"])
+
+    def solve(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < _BATCH_ROWS:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            # The last chunk may go on in the next batch.
+            last = len(rows) - 1
+            while last and all(rows[name][last - 1].equals(rows[name][-1]) for name in names):
+                last -= 1
+            if last:
+                yield from solved(rows.slice(0, last).combine_chunks()).to_batches()
+            held, size = rows.slice(last).combine_chunks().to_batches(), len(rows) - last
+        if size:
+            yield from solved(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
     return solve
 
@@ -282,12 +365,15 @@ def search_choices(actions: DataFrame, budgets: Sequence[int], segment: Sequence
         retained = options.where("cost = 0").join(some, record, "left_anti").select(*record, "action_rank")
         options = pin(options.join(some, record, "left_semi"), "contenders")
     ids = pin(with_rank(options.select(*keys, "sample_id").distinct(), ["sample_id"], keys, "_n"), "record-numbers")
-    chunked = options.join(ids, [*keys, "sample_id"]).withColumn(
-        "chunk", F.floor((F.col("_n") - 1) / chunk_records)).drop("_n")
+    place = F.col("_n") - 1
+    chunked = options.join(ids, [*keys, "sample_id"]).select(
+        *keys, F.floor(place / chunk_records).alias("chunk"), (place % chunk_records).alias("record"), "benefit", F.col("cost").cast("long").alias("cost"),
+        F.col("area_num").cast("long").alias("area_num"), F.col("area_den").cast("long").alias("area_den"), F.col("footprint").cast("double").alias("footprint"),
+        (F.col("action") == "whole_table").cast("int").alias("whole"), "action_rank")
     types = {f.name: f.dataType.simpleString() for f in actions.schema}
     key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    solved = pin(spread(chunked, *keys, "chunk").groupBy(*keys, "chunk").applyInPandas(
-        _chunk_solver(limit, ["chunk", *reversed(keys)]), f"{key_ddl}, chunk bigint, {_STATE}, ranks string"), "frontier")
+    solved = pin(spread(chunked, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "record").mapInArrow(
+        _chunk_solver(limit, budgets, keys, chunk_records), f"{key_ddl}, chunk bigint, {_STATE}, ranks string"), "frontier")
     levels, states = [], solved.drop("ranks")
     chunks = solved.agg(F.max("chunk")).first()[0] or 0
     while chunks:

@@ -51,22 +51,29 @@ def _add_option(old: _Table, new: _Table, at: np.ndarray, shift: int, benefit: n
     compared, held = np.round(total, DIGITS), new.compared[rows, shift:]
     wins = compared > held
     even = np.flatnonzero((compared == held) & (compared > -np.inf))
+    room, ties = old.benefit.shape[1], list(zip(range(5), steps, scale))
     if len(even):
         r, c = np.divmod(even, width)
-        for tie, step, factor in zip(range(5), steps, scale):
-            mine = old.ties[tie][at[r], c] * factor + step[r]
-            other = new.ties[tie][at[r], c + shift]
-            better = mine < other
-            wins[r[better], c[better]] = True
+        cell = at[r] * room + c
+        for tie, step, factor in ties:
+            mine = old.ties[tie].ravel().take(cell) * factor + step.take(r)
+            other = new.ties[tie].ravel().take(cell + shift)
+            wins.ravel()[even[mine < other]] = True
             same = mine == other
-            r, c = r[same], c[same]
+            even, r, cell = even[same], r[same], cell[same]
             if not len(r):
                 break
-    r, c = np.nonzero(wins)
-    g = at[r]
-    new.benefit[g, c + shift], new.compared[g, c + shift] = total[r, c], compared[r, c]
-    for tie, step, factor in zip(range(5), steps, scale):
-        new.ties[tie][g, c + shift] = old.ties[tie][g, c] * factor + step[r]
+    won = np.flatnonzero(wins)
+    r = won // width
+    cell = at[r] * room + (won - r * width)
+    to = cell + shift
+    new.benefit.ravel()[to], new.compared.ravel()[to] = total.ravel().take(won), compared.ravel().take(won)
+    for tie, step, factor in ties:
+        values = old.ties[tie].ravel().take(cell)
+        if factor != 1:
+            values *= factor
+        values += step.take(r)
+        new.ties[tie].ravel()[to] = values
 
 
 def _solve_table(records: int, width: int, lows: np.ndarray, starts: np.ndarray, ends: np.ndarray, options: dict[str, np.ndarray]) -> _Table:
